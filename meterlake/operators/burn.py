@@ -18,6 +18,7 @@ from meterlake.keys import ACCOUNT, LONG_GAP_MS
 from meterlake.operators.meter import ORDER
 from meterlake.operators.scan import Running, running, time_chunk
 from meterlake.operators.windows import Bounds
+from meterlake.storage import materialize
 
 UNATTRIBUTED = "Unattributed"
 INTERVAL = [ACCOUNT, "cycle", "used_percent", "start_ts", "end_ts", "points"]
@@ -98,7 +99,8 @@ def burn_cells(
     tl: DataFrame, events: DataFrame, b: Bounds, rates: dict[str, Rate] = RATE_CARD
 ) -> DataFrame:
     """Event sums per span, family and local day; a span's own row has a null family."""
-    pairs = assign_events(burn_intervals(tl, b), _weighable(events, b, rates))
+    intervals = materialize(burn_intervals(tl, b), "intervals")
+    pairs = assign_events(intervals, _weighable(events, b, rates))
     rated = F.coalesce(F.col("credits") > 0, F.lit(False))
     return pairs.groupBy(
         ACCOUNT, *[F.col(f"iv.{c}").alias(c) for c in INTERVAL[1:]], "family", "day"
@@ -191,7 +193,7 @@ def burn(
     tl: DataFrame, events: DataFrame, b: Bounds, rates: dict[str, Rate] = RATE_CARD
 ) -> DataFrame:
     """Attributed spans up to the window's end (all history, since cycles start before it)."""
-    return allocate(burn_cells(tl, events, b, rates), b)
+    return materialize(allocate(burn_cells(tl, events, b, rates), b), "spans")
 
 
 def burn_by_model(spans: DataFrame) -> DataFrame:

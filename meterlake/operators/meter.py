@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from meterlake.functions.numbers import clamp_percent
 from meterlake.keys import ACCOUNT, RESET_JITTER_SECONDS, WEEK_MINUTES
 from meterlake.operators.scan import Running, running, time_chunk
+from meterlake.storage import materialize
 
 ORDER = ["ts", "resets_at", "seen"]
 _WEEK_MS = WEEK_MINUTES * 60_000
-# Reset times are cut into chunks of this length where distinct values are scanned.
-_RESET_CHUNK_SECONDS = 7 * 24 * 3600
 
 
 def weekly_observations(quota: DataFrame) -> DataFrame:
@@ -94,27 +93,27 @@ def assign_epochs(obs: DataFrame) -> DataFrame:
     one window. Only wider clusters need the sequential rule, on rows whose reset time differs from
     the reading before (a repeat always lands in the same window).
     """
-    resets = obs.select(ACCOUNT, "resets_at").distinct().withColumn(
-        "_chunk", F.floor(F.col("resets_at") / F.lit(_RESET_CHUNK_SECONDS)).cast("long"))
-    keys = [ACCOUNT]
-    gaps = running(
-        resets, keys, "_chunk", ["resets_at"],
-        {"before": Running("last", F.col("resets_at"), before=True)})
-    opens = F.when(
-        F.col("resets_at") - F.col("before") <= RESET_JITTER_SECONDS, F.lit(None).cast("long")
-    ).otherwise(F.col("resets_at"))
-    # A cluster is named by its smallest reset time.
-    clusters = running(
-        gaps.withColumn("opens", opens), keys, "_chunk", ["resets_at"],
-        {"cluster": Running("last", F.col("opens"))})
-    spans = clusters.groupBy(ACCOUNT, "cluster").agg(F.max("resets_at").alias("top"))
-    named = clusters.select(ACCOUNT, "resets_at", "cluster").join(
-        spans, [ACCOUNT, "cluster"]
-    ).select(ACCOUNT, "resets_at", "cluster",
-             (F.col("top") - F.col("cluster") > RESET_JITTER_SECONDS).alias("wide"))
+    # Reset times are whole seconds, so even a busy account has few distinct ones.
+    by_reset = Window.partitionBy(ACCOUNT).orderBy("resets_at")
+    gap = F.col("resets_at") - F.lag("resets_at").over(by_reset)
+    opens = F.when(F.coalesce(gap > RESET_JITTER_SECONDS, F.lit(True)), F.col("resets_at"))
+    clusters = (
+        obs.select(ACCOUNT, "resets_at").distinct()
+        .withColumn("opens", opens)
+        # A cluster is named by its smallest reset time.
+        .withColumn("cluster", F.last("opens", ignorenulls=True).over(
+            by_reset.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    top = F.max("resets_at").over(Window.partitionBy(ACCOUNT, "cluster"))
+    named = materialize(clusters.select(
+        ACCOUNT, "resets_at", "cluster",
+        (top - F.col("cluster") > RESET_JITTER_SECONDS).alias("wide")), "clusters")
     placed = obs.join(named, [ACCOUNT, "resets_at"])
     narrow = placed.filter(~F.col("wide")).withColumn("part", F.lit(0))
-    return narrow.unionByName(_split_wide(placed.filter("wide"))).drop("wide")
+    if named.filter("wide").isEmpty():
+        return narrow.drop("wide")
+    wide = materialize(placed.filter("wide"), "wide")
+    return narrow.unionByName(_split_wide(wide)).drop("wide")
 
 
 def _split_wide(wide: DataFrame) -> DataFrame:
@@ -128,6 +127,7 @@ def _split_wide(wide: DataFrame) -> DataFrame:
         {"reset_before": Running("last", F.col("resets_at"), before=True)},
     ).withColumn("starts", F.when(
         F.col("reset_before").isNull() | (F.col("reset_before") != F.col("resets_at")), reading))
+    turns = materialize(turns, "turns")
     runs = (
         turns.filter(F.col("starts").isNotNull())
         .select(ACCOUNT, "cluster", "resets_at", F.col("starts").alias("run"), "ts", "seen")
@@ -202,7 +202,7 @@ def normalize_timeline(obs: DataFrame) -> DataFrame:
     Readings at or after the next cycle's first are stale and go; a dip inside a cycle is lifted to
     the highest reading so far.
     """
-    placed = assign_epochs(obs)
+    placed = materialize(assign_epochs(obs), "placed")
     table = cycles(epoch_table(placed))
     live = placed.join(
         table.select(ACCOUNT, "cluster", "part", "cycle", "next_first_ts", "first_reading",
@@ -215,13 +215,15 @@ def normalize_timeline(obs: DataFrame) -> DataFrame:
         .alias("reset"),
         time_chunk(F.col("ts")).alias("_chunk"),
     )
-    return running(
+    lifted = running(
         shaped, [ACCOUNT, "cycle"], "_chunk", ORDER,
         {
             "normalized_used_percent": Running("max", F.col("used_percent")),
             "used_before": Running("max", F.col("used_percent"), before=True),
         },
-    ).drop("_chunk")
+    )
+    # Many tables are read off the timeline, so it is stored.
+    return materialize(lifted.drop("_chunk"), "timeline")
 
 
 def timeline(quota: DataFrame) -> DataFrame:

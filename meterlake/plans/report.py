@@ -16,6 +16,7 @@ from meterlake.operators import display
 from meterlake.operators.meter import ORDER, normalize_timeline, select_meter, weekly_observations
 from meterlake.operators.projects import rate_summary
 from meterlake.operators.windows import Bounds, in_window
+from meterlake.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ def usage_trend(
     obs = select_meter(weekly_observations(quota))
     tl = normalize_timeline(obs)
     spans = burning.burn(tl, events, b, rates)
-    every = burning.meter_points(tl, spans, b)
+    every = materialize(burning.meter_points(tl, spans, b), "points")
     shown = display.display_points(every, b)
     inside = F.col("ts") >= F.lit(b.start)
     counts = every.groupBy(ACCOUNT).agg(
