@@ -24,6 +24,9 @@ from meterlake.operators.windows import (
     rolling_window,
 )
 from meterlake.plans import ingest, report
+from meterlake.sources.metadata import TITLES_SCHEMA, thread_state
+from meterlake.sources.rollouts import lines_from_table
+from meterlake.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -514,7 +517,7 @@ def _(spark, d):
 
 _STATS = f"""dv AS (SELECT * FROM ev WHERE {_within(TREND)}),
 ef AS (SELECT account_id, family, effort, sum(total_tokens) AS t,
-              min(epoch_ms(ts) * 100000000 + event_id) AS f
+              min(epoch_ms(ts)::HUGEINT * 100000000 + event_id) AS f
        FROM dv GROUP BY 1, 2, 3),
 te AS (SELECT * FROM ef QUALIFY row_number() OVER (
          PARTITION BY account_id, family ORDER BY t DESC, f) = 1),
@@ -742,9 +745,7 @@ _LOG = f"WITH {S.SQL_LOG}"
 
 
 def _context(spark, d, rows_per_block: int = 2_000):
-    from meterlake.sources.rollouts import lines_from_table
-
-    lines = lines_from_table(S.log_lines(spark, d), rows_per_block)
+    lines = lines_from_table(materialize(S.log_lines(spark, d), "lines"), rows_per_block)
     return ingest.context_records(lines)
 
 
@@ -863,13 +864,8 @@ lev AS (SELECT at1.*, coalesce(kc.n, 0) AS tool_calls FROM at1
 
 def _ledger(spark, d):
     """The whole ledger built from the derived log."""
-    from meterlake.sources.metadata import thread_state
-    from meterlake.sources.rollouts import lines_from_table
-
-    lines = lines_from_table(S.log_lines(spark, d), 2_000)
+    lines = lines_from_table(materialize(S.log_lines(spark, d), "lines"), 2_000)
     state, edges = thread_state(spark)
-    from meterlake.sources.metadata import TITLES_SCHEMA
-
     meta = ingest.Metadata(spark.createDataFrame([], TITLES_SCHEMA), state, edges)
     sources = lines.groupBy("account_id", "file").agg(
         F.sum(F.length("value") + 1).alias("size"))
@@ -923,7 +919,7 @@ k AS (SELECT account_id, count(*) FILTER (total < counter_before) AS correction_
       FROM tok GROUP BY 1),
 f AS (SELECT account_id, count(DISTINCT file) AS files_scanned FROM rw GROUP BY 1)
 SELECT account_id, files_scanned, parse_errors, correction_intervals, duplicate_events_skipped,
-       observed_tokens, legacy_heuristic_events, 100.0 AS detailed_percent, earliest_ms, latest_ms,
+       observed_tokens, legacy_heuristic_events, 100.0::DOUBLE AS detailed_percent, earliest_ms, latest_ms,
        false AS complete_since_window_start
 FROM f JOIN c USING (account_id) JOIN k USING (account_id) JOIN e USING (account_id)""")
 def _(spark, d):
@@ -1006,7 +1002,7 @@ l AS (SELECT page_id, string_split(CASE m
     WHEN 0 THEN lower(host) || '/' || path
     WHEN 1 THEN 'git.example.org/team/r' || page_id
     ELSE '' END, '/') AS parts, m FROM t)
-SELECT page_id, CASE WHEN m < 2 THEN array_to_string(list_filter(parts, p -> p <> '')[-2:], '/')
+SELECT page_id, CASE WHEN m < 2 THEN array_to_string(list_filter(parts, lambda p: p <> '')[-2:], '/')
   WHEN m = 2 THEN 'r' || page_id ELSE 'wt' || page_id END AS project FROM l""")
 def _(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")

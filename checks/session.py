@@ -16,6 +16,7 @@ def local_session(cpus: str | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", n)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -173,7 +173,7 @@ def series_export(
     columns = day.unpivot([ACCOUNT, "start_day"], ["Luna", "Sol", "Other"], "model", "tokens")
     bars = columns.select(
         ACCOUNT, F.concat_ws(" ", F.date_format("start_day", "MM-dd"), "model").alias("day_model"),
-        F.format_number(F.col("tokens") / 1e9, "0.000").alias("tokens_billion"))
+        F.expr("format_number(tokens / 1e9D, '0.000')").alias("tokens_billion"))
 
     inside = points.filter(F.col("ts") >= F.lit(b.start))
     ms = F.unix_millis("ts")

@@ -122,26 +122,40 @@ def thread_id_of_file(file: Column) -> Column:
     return F.when(found != "", found).otherwise(F.concat(F.lit("file-"), hash_id(file)))
 
 
-def _usage(path: str) -> Column:
+_TOKENS = (
+    "struct<input_tokens double, cached_input_tokens double, cache_write_input_tokens double, "
+    "output_tokens double, reasoning_output_tokens double, total_tokens double>"
+)
+_BUCKET = "struct<window_minutes double, used_percent double, resets_at double>"
+# The parts of a record that matter. A structured `source` arrives as its JSON text.
+RECORD_TYPE = (
+    "struct<timestamp string, type string, payload struct<"
+    "type string, id string, turn_id string, started_at double, model string, effort string, "
+    "cwd string, source string, parent_thread_id string, forked_from_id string, "
+    "git struct<repository_url string>, "
+    "thread_settings struct<model string, reasoning_effort string, service_tier string>, "
+    "call_id string, name string, namespace string, "
+    f"info struct<total_token_usage {_TOKENS}, last_token_usage {_TOKENS}, "
+    "model_context_window double>, "
+    "rate_limits struct<limit_id string, limit_name string, plan_type string, "
+    f"primary {_BUCKET}, secondary {_BUCKET}>>>"
+)
+
+
+def _usage(u: Column) -> Column:
     """The six token counts of a usage object, as struct<i, c, w, o, r, t>."""
     fields = {
         "i": "input_tokens", "c": "cached_input_tokens", "w": "cache_write_input_tokens",
         "o": "output_tokens", "r": "reasoning_output_tokens", "t": "total_tokens",
     }
-    return F.struct(*[
-        token_count(F.try_variant_get("v", f"{path}.{name}", "double")).alias(short)
-        for short, name in fields.items()
-    ])
+    return F.struct(*[token_count(u[name]).alias(short) for short, name in fields.items()])
 
 
-def _bucket(path: str) -> Column:
-    def num(name: str) -> Column:
-        return finite_number(F.try_variant_get("v", f"{path}.{name}", "double"))
-
+def _bucket(b: Column) -> Column:
     return F.struct(
-        num("window_minutes").cast("int").alias("window_minutes"),
-        num("used_percent").alias("used_percent"),
-        num("resets_at").cast("long").alias("resets_at"),
+        finite_number(b["window_minutes"]).cast("int").alias("window_minutes"),
+        finite_number(b["used_percent"]).alias("used_percent"),
+        finite_number(b["resets_at"]).cast("long").alias("resets_at"),
     )
 
 
@@ -152,16 +166,14 @@ def parse_records(lines: DataFrame) -> DataFrame:
     and other record types are dropped.
     """
 
-    def text(path: str) -> Column:
-        return F.nullif(F.try_variant_get("v", path, "string"), F.lit(""))
-
+    # One pass over the parsed line takes out everything at once.
+    spawn = "$.payload.source.subagent.thread_spawn.parent_thread_id"
     head = (
         lines.filter(F.col("value").rlike(r"\S"))
         .withColumn("v", F.try_parse_json("value"))
-        .withColumn("type", F.try_variant_get("v", "$.type", "string"))
-        .withColumn("ptype", F.try_variant_get("v", "$.payload.type", "string"))
+        .withColumn("r", F.try_variant_get("v", "$", RECORD_TYPE))
     )
-    typ, ptype = F.col("type"), F.col("ptype")
+    typ, ptype = F.col("r.type"), F.col("r.payload.type")
     bad = F.col("v").isNull() | F.is_variant_null("v")
     kind = (
         F.when(bad, "bad")
@@ -172,53 +184,53 @@ def parse_records(lines: DataFrame) -> DataFrame:
         .when((typ == "response_item") & ptype.isin(CALL_TYPES), "call")
         .when((typ == "event_msg") & (ptype == "token_count"), "tokens")
     )
-    k = F.col("kind")
-    kept = head.withColumn("kind", kind).filter(k.isNotNull())
+    k, p = F.col("kind"), F.col("r.payload")
+    kept = head.select(
+        ACCOUNT, "file", "block", "ord", "split", kind.alias("kind"), "r",
+        F.when(typ == "session_meta", F.try_variant_get("v", spawn, "string")).alias("spawner"),
+    ).filter(k.isNotNull())
+
+    def text(c: Column) -> Column:
+        return F.nullif(c, F.lit(""))
 
     def only(kinds: str | list[str], c: Column) -> Column:
-        kinds = [kinds] if isinstance(kinds, str) else kinds
-        return F.when(k.isin(kinds), c)
+        return F.when(k.isin([kinds] if isinstance(kinds, str) else kinds), c)
 
-    settings = "$.payload.thread_settings"
-    limits = "$.payload.rate_limits"
-    tool = F.coalesce(text("$.payload.name"), text("$.payload.namespace"), ptype)
+    settings, limits, info = p["thread_settings"], p["rate_limits"], p["info"]
+    tool = F.coalesce(text(p["name"]), text(p["namespace"]), p["type"])
     return kept.select(
         ACCOUNT, "file", "block", "ord", "split", "kind",
-        only(["start", "tokens", "call"], text("$.timestamp")).alias("at"),
-        only(["start", "turn"], text("$.payload.turn_id")).alias("turn_id"),
-        only("start", F.try_variant_get("v", "$.payload.started_at", "double")).alias("started_at"),
-        F.when(k == "turn", text("$.payload.model"))
-        .when(k == "settings", text(f"{settings}.model")).alias("set_model"),
-        F.when(k == "turn", text("$.payload.effort"))
-        .when(k == "settings", text(f"{settings}.reasoning_effort")).alias("set_effort"),
-        only(["meta", "turn"], text("$.payload.cwd")).alias("set_cwd"),
-        only("settings", F.struct(F.nullif(
-            F.substring(F.btrim(F.coalesce(text(f"{settings}.service_tier"), F.lit(""))), 1, 40),
-            F.lit("")).alias("tier"))).alias("set_tier"),
+        only(["start", "tokens", "call"], text(F.col("r.timestamp"))).alias("at"),
+        only(["start", "turn"], text(p["turn_id"])).alias("turn_id"),
+        only("start", p["started_at"]).alias("started_at"),
+        F.when(k == "turn", text(p["model"])).when(k == "settings", text(settings["model"]))
+        .alias("set_model"),
+        F.when(k == "turn", text(p["effort"]))
+        .when(k == "settings", text(settings["reasoning_effort"])).alias("set_effort"),
+        only(["meta", "turn"], text(p["cwd"])).alias("set_cwd"),
+        only("settings", F.struct(
+            text(F.substring(F.btrim(F.coalesce(settings["service_tier"], F.lit(""))), 1, 40))
+            .alias("tier"))).alias("set_tier"),
         only("meta", F.struct(
-            text("$.payload.id").alias("id"),
-            text("$.payload.git.repository_url").alias("git"),
-            text("$.payload.source").alias("source"),
-            F.coalesce(text("$.payload.parent_thread_id"), text("$.payload.forked_from_id"))
-            .alias("parent"),
-            text("$.payload.source.subagent.thread_spawn.parent_thread_id").alias("spawner"),
+            text(p["id"]).alias("id"), text(p["git"]["repository_url"]).alias("git"),
+            text(p["source"]).alias("source"),
+            F.coalesce(text(p["parent_thread_id"]), text(p["forked_from_id"])).alias("parent"),
+            text(F.col("spawner")).alias("spawner"),
         )).alias("meta"),
         only("call", F.struct(
-            ptype.alias("type"),
-            F.substring(tool, 1, 80).alias("name"),
-            F.coalesce(text("$.payload.call_id"), text("$.payload.id")).alias("stable_id"),
+            p["type"].alias("type"), F.substring(tool, 1, 80).alias("name"),
+            F.coalesce(text(p["call_id"]), text(p["id"])).alias("stable_id"),
         )).alias("call"),
         only("tokens", F.struct(
-            _usage("$.payload.info.total_token_usage").alias("total"),
-            _usage("$.payload.info.last_token_usage").alias("last"),
-            token_count(F.try_variant_get("v", "$.payload.info.model_context_window", "double"))
-            .alias("context_window"),
+            _usage(info["total_token_usage"]).alias("total"),
+            _usage(info["last_token_usage"]).alias("last"),
+            token_count(info["model_context_window"]).alias("context_window"),
         )).alias("usage"),
         only("tokens", F.struct(
-            F.coalesce(text(f"{limits}.limit_id"), text(f"{limits}.limit_name"),
-                       F.lit("anonymous")).alias("limit"),
-            F.substring(text(f"{limits}.limit_name"), 1, 80).alias("limit_name"),
-            F.coalesce(text(f"{limits}.plan_type"), F.lit("unknown")).alias("plan_type"),
-            F.array(_bucket(f"{limits}.primary"), _bucket(f"{limits}.secondary")).alias("buckets"),
+            F.coalesce(text(limits["limit_id"]), text(limits["limit_name"]), F.lit("anonymous"))
+            .alias("limit"),
+            F.substring(text(limits["limit_name"]), 1, 80).alias("limit_name"),
+            F.coalesce(text(limits["plan_type"]), F.lit("unknown")).alias("plan_type"),
+            F.array(_bucket(limits["primary"]), _bucket(limits["secondary"])).alias("buckets"),
         )).alias("limits"),
     )
