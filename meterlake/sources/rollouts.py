@@ -166,12 +166,15 @@ def parse_records(lines: DataFrame) -> DataFrame:
     and other record types are dropped.
     """
 
-    # One pass over the parsed line takes out everything at once.
+    # One pass over the parsed line takes out everything at once. As generated columns, the line and
+    # its parts are computed once: as plain ones, the filter on the kind below would be pushed under
+    # the projection and repeat the parsing for every comparison.
     spawn = "$.payload.source.subagent.thread_spawn.parent_thread_id"
+    keys = [ACCOUNT, "file", "block", "ord", "split"]
     head = (
         lines.filter(F.col("value").rlike(r"\S"))
-        .withColumn("v", F.try_parse_json("value"))
-        .withColumn("r", F.try_variant_get("v", "$", RECORD_TYPE))
+        .select(*keys, F.explode(F.array(F.try_parse_json("value"))).alias("v"))
+        .select(*keys, "v", F.explode(F.array(F.try_variant_get("v", "$", RECORD_TYPE))).alias("r"))
     )
     typ, ptype = F.col("r.type"), F.col("r.payload.type")
     bad = F.col("v").isNull() | F.is_variant_null("v")
@@ -186,7 +189,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     )
     k, p = F.col("kind"), F.col("r.payload")
     kept = head.select(
-        ACCOUNT, "file", "block", "ord", "split", kind.alias("kind"), "r",
+        *keys, kind.alias("kind"), "r",
         F.when(typ == "session_meta", F.try_variant_get("v", spawn, "string")).alias("spawner"),
     ).filter(k.isNotNull())
 
