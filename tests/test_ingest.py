@@ -162,3 +162,26 @@ def test_json_snapshot(spark, tmp_path):
     path2.write_text("{}")
     with pytest.raises(LedgerError):
         read_snapshot_json(spark, str(path2))
+
+
+def test_stream_trigger_and_refresh_decision(spark, home, tmp_path):
+    from datetime import timedelta
+
+    from meterlake.sources.freshness import ledger_freshness, needs_refresh
+    from meterlake.streaming.refresh import refresh_stream
+
+    store, seen = str(tmp_path / "store"), []
+    query = refresh_stream(spark, f"{home}/sessions", store, empty_meta(spark),
+                           on_done=seen.append)
+    assert query.awaitTermination(120)
+    assert seen == [True]
+    led = read_ledger(spark, f"{store}/ledger")
+    made = led.provenance.first()["generated_at"].replace(tzinfo=UTC)
+    roots = session_roots(home)
+    young, old = made + timedelta(minutes=15), made + timedelta(hours=2)
+    assert not needs_refresh(spark, f"{store}/ledger", roots, young)
+    assert not needs_refresh(spark, f"{store}/ledger", roots, old)
+    assert needs_refresh(spark, str(tmp_path / "none"), roots, old)
+    r = ledger_freshness(led.provenance, young).first()
+    assert (r["status"], r["age_label"]) == ("fresh", "15m old")
+    assert ledger_freshness(led.provenance, old).first()["age_label"] == "2h old"
