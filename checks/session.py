@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 from meterlake import configure
 
 
+def ensure_shared_folder(spark: SparkSession) -> None:
+    """Give a local session without a checkpoint folder one of its own; a cluster must name it."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meterlake-"))
+
+
 def local_session(cpus: str | None = None) -> SparkSession:
     n = cpus or os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -20,4 +30,5 @@ def local_session(cpus: str | None = None) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_shared_folder(spark)
     return configure(spark)

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Whole texts travel to Python in small batches.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +10,60 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`; a local session without one gets its own."""
+    """The session's checkpoint folder, which every executor must be able to reach.
+
+    It is the setting `spark.checkpoint.dir`, or else what `SparkContext.setCheckpointDir` was given.
+    """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not folder:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
+    if not folder:
         raise ValueError(f"Set {CHECKPOINT_DIR} to a folder that all executors can reach.")
-    return tempfile.mkdtemp(prefix="meterlake-")
+    return folder.rstrip("/")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any store that Spark can write to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables stored while one operator runs.
+
+    Stored steps survive lost executors and cut the plan. `release` stores the operator's small
+    result beside them and removes the rest; `clear` removes everything still held.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/meterlake/{name}-{uuid.uuid4().hex}"
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+
+    def store(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+        path = self.path(name)
+        df.write.partitionBy(*(partition_by or [])).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, table: DataFrame) -> None:
+        """Remove a stored table that is no longer read."""
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if f"{self.root.split(':', 1)[-1].lstrip('/')}/" in folder:
+                delete_folder(self.spark, folder)
+
+    def release(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}-result"
+        df.write.parquet(path)
+        self.clear()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        delete_folder(self.spark, self.root)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a table once and read it back, so that later steps do not recompute it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/meterlake/{uuid.uuid4().hex}/{name}"
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).store(df, name, partition_by)
