@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import language_id, mixing, ngram_jaccard, quality, secret_scan, sentencepiece_fst, sharding, warc
+from meterlake.llm import embedding_dedup, language_id, mixing, ngram_jaccard, quality, secret_scan, sentencepiece_fst, sharding, vector_search, warc
 from meterlake.llm.texts import held_out
 from meterlake.storage import Scratch
 
@@ -36,6 +36,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_groups(_table(spark, sf_dir, "documents"), ngram_jaccard.Rule(3, 90))
 
@@ -46,6 +50,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels), ["doc_id", "held_out"])
 
 
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secret_scan.scan(docs, secret_scan.train(docs), ["doc_id"])
@@ -57,7 +65,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id, "op2_sharding": op2_sharding, "op3_warc": op3_warc,
-    "op4_sentencepiece": op4_sentencepiece, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality": op7_quality,
+    "op4_sentencepiece": op4_sentencepiece, "op5_embedding_dedup": op5_embedding_dedup, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality": op7_quality,
+    "op8_vector_search": op8_vector_search,
     "op9_secrets": op9_secrets, "op10_mixing": op10_mixing,
 }
 
@@ -91,6 +100,17 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM f""",
+    "op5_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.v FROM reach r JOIN links l ON l.u = r.other
+), n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept
+FROM reach r LEFT JOIN n ON n.u = r.vec_id GROUP BY r.vec_id""",
     "op6_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
