@@ -7,11 +7,14 @@ differing blocks, like the Hamming distance of any parity sketch, never exceeds
 differing members. By the pigeonhole principle two similar sets agree in a block.
 
 * Bands overlap by the factor T, so that each similar pair lies within a band.
-* A set emits its first d + 1 + s filled blocks, d being its greatest possible difference to a partner
-  (the smaller set's d bounds the pair). Both sets of a similar pair emit s + 1 blocks that agree: up
-  to the k-th of them, each set has at most d filled blocks that differ.
-* Sketches of passages that many texts share come from many sets. A set with at most s of these leaves
-  them out, since it keeps a block that agrees; only a set with more of them keeps them all.
+* A set emits its first d + 1 + s filled blocks, d being its greatest possible difference to a partner.
+  Both sets of a similar pair then emit s + 1 blocks that agree, s being the smaller set's: up to the
+  k-th of them, each set has at most d filled blocks that differ.
+* Small sets have a block per member and emit all, so s is what exceeds d + 1. There, what stands before
+  the first sketch that two sets agree in differs, which bounds their difference from below.
+* Sketches of passages that many texts share come from many sets. Of its sketches that others share, a
+  set leaves out the s most common (the order is the same for all sets, so the rarest block that two
+  similar sets agree in stays in both). A set with no more than s shared sketches has no partner.
 * Sets that agree in a block are not all compared: they are tested against pivots of their block, and
   what is then connected is not tested again. The pairs that remain between different components are
   all tested, so no link that matters for a component is lost.
@@ -28,20 +31,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
 from meterlake.llm.components import components
 from meterlake.llm.texts import map_texts, mix, word_hashes, words
 from meterlake.storage import Scratch
 
-#: A block's sketch shared by more sets than this is left out where enough others remain.
-COMMON = 32
 PIVOT_ROUNDS = 2
 #: Widest size ratio within a band, overlap included; bands up to the second size have a block per member.
 BAND_RATIO = 2.5
-SMALL = 128
+SMALL = 384
+#: Copies up to this number are broadcast to leave them out; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -75,7 +78,7 @@ class Rule:
         Small sets have a block per member instead. Beyond them, a set fills too few blocks for the
         guarantee with a chance far below one in a thousand million.
         """
-        return 0 if high < SMALL else int(1.25 * (self.greatest_difference(high) + 1 + self.spare(high)))
+        return 0 if high < SMALL else int(1.35 * (self.greatest_difference(high) + 1 + self.spare(high)))
 
     def within(self, a: Column, b: Column, difference: Column) -> Column:
         return (100 + self.percent) * difference <= (a + b) * (100 - self.percent)
@@ -103,14 +106,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarra
     return out
 
 
-def _keys(members: np.ndarray, rule: Rule, bands: list[tuple[int, int]], lows: list[int]) -> tuple[np.ndarray, int]:
+def _keys(members: np.ndarray, rule: Rule, bands: list[tuple[int, int]], lows: list[int]) -> np.ndarray:
     """The sketches of the blocks that a set emits in each of its bands (band and block hashed in).
 
-    The second result is the number of them that may be left out.
+    A set has one band or two neighbouring ones. A key's lowest bit is that of the band's number, the
+    next one tells whether its blocks hold several members.
     """
     n = len(members)
-    needed = rule.greatest_difference(n) + 1
-    spare = rule.spare(n)
     out = []
     b = bisect_left(lows, n + 1) - 1
     while b >= 0 and bands[b][1] >= n:
@@ -120,34 +122,38 @@ def _keys(members: np.ndarray, rule: Rule, bands: list[tuple[int, int]], lows: l
             block = ((members >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             sketch = np.bitwise_xor.reduceat(mix(members), first) ^ mix(block[first] + np.uint64(1))
+            sketch = sketch[: rule.greatest_difference(n) + 1 + rule.spare(n)]
         else:
             sketch = mix(members)
-        spare = min(spare, len(sketch) - needed)
-        out.append(mix(sketch[: needed + rule.spare(n)] + np.uint64(b)))
+        out.append(mix(sketch + np.uint64(b)) & ~np.uint64(3) | np.uint64(b % 2 + 2 * bool(blocks)))
         b -= 1
-    return np.concatenate(out), max(spare, 0)
+    return np.concatenate(out)
 
 
-def sketches(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, spare, keys): size and digest of each set and its block sketches."""
-    bands = rule.bands()
-    lows = [low for low, _ in bands]
+def _digests(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, n_shingles, set_a, set_b): size and 128-bit digest of each set."""
 
     def work(data: np.ndarray, offsets: np.ndarray) -> list:
         sets = shingles(data, offsets, rule.words)
-        made = [_keys(m, rule, bands, lows) if len(m) else (np.zeros(0, np.uint64), 0) for m in sets]
         a = [np.bitwise_xor.reduce(mix(m + np.uint64(7))) if len(m) else np.uint64(0) for m in sets]
         b = [mix(m).sum(dtype=np.uint64) for m in sets]
-        at = np.concatenate([[0], np.cumsum([len(k) for k, _ in made])]).astype(np.int32)
-        keys = np.concatenate([k for k, _ in made]).view(np.int64)
-        return [np.array([len(m) for m in sets], np.int64), np.array(a, np.uint64).view(np.int64),
-                np.array(b, np.uint64).view(np.int64), np.array([s for _, s in made], np.int64),
-                pa.ListArray.from_arrays(pa.array(at), pa.array(keys))]
+        return [np.array([len(m) for m in sets], np.int64), np.array(a, np.uint64).view(np.int64), np.array(b, np.uint64).view(np.int64)]
+
+    return map_texts(docs, work, [StructField(c, LongType()) for c in ("n_shingles", "set_a", "set_b")], ["doc_id"])
+
+
+def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, n, keys): size of each text's set and its block sketches."""
+    bands = rule.bands()
+    lows = [low for low, _ in bands]
+
+    def work(data: np.ndarray, offsets: np.ndarray) -> list:
+        sets = shingles(data, offsets, rule.words)
+        made = [_keys(m, rule, bands, lows) if len(m) else np.zeros(0, np.uint64) for m in sets]
+        at = np.concatenate([[0], np.cumsum([len(k) for k in made])]).astype(np.int32)
+        return [np.array([len(m) for m in sets], np.int32), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(made).view(np.int64)))]
 
-    fields = [StructField(c, LongType()) for c in ("n_shingles", "set_a", "set_b", "spare")]
-    fields.append(StructField("keys", ArrayType(LongType(), False)))
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_texts(slim, work, fields, ["doc_id"])
+    return map_texts(docs, work, [StructField("n", IntegerType()), StructField("keys", ArrayType(LongType(), False))], ["doc_id"])
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -169,14 +175,28 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return map_texts(docs, work, [StructField("n", LongType()), StructField("parity", longs), StructField("members", longs)], ["doc_id"])
 
 
+def _possible(rule: Rule) -> Column:
+    """Whether sizes, and the members before the agreeing sketch, allow two sets to be similar."""
+    a, b = F.col("n").cast("long"), F.col("other_n").cast("long")
+    sizes = F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent
+    return sizes & rule.within(a, b, F.col("before") + F.col("other_before"))
+
+
+def _hamming(a: str, b: str) -> Column:
+    words = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(16)]
+    return sum(words[1:], words[0])
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (u, v) whose sets are similar, by size, parity sketch and members in common."""
-    a = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("na"), F.col("parity").alias("pa"), F.col("members").alias("ma"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("nb"), F.col("parity").alias("pb"), F.col("members").alias("mb"))
-    hamming = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    common = F.size(F.array_intersect("ma", "mb"))
+    a = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    b = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * rule.percent
-    return (pairs.join(a, "u").join(b, "v").filter(sizes & rule.within(F.col("na"), F.col("nb"), hamming))
+    close = (pairs.join(a, "u").join(b, "v").filter(sizes).filter(rule.within(F.col("na"), F.col("nb"), _hamming("pa", "pb")))
+             .select("u", "v", "na", "nb"))
+    common = F.size(F.array_intersect("ma", "mb"))
+    return (close.join(sets.select(F.col("doc_id").alias("u"), F.col("members").alias("ma")), "u")
+            .join(sets.select(F.col("doc_id").alias("v"), F.col("members").alias("mb")), "v")
             .filter(100 * common >= rule.percent * (F.col("na") + F.col("nb") - common)).select("u", "v"))
 
 
@@ -189,24 +209,32 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     texts are linked. No partner, block or group is capped.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    all_rows = scratch.store(sketches(docs, rule, doc_id, text), "sketches")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    all_rows = scratch.store(_digests(texts, rule), "digests")
     named = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "set_a", "set_b"]
-    slim = named.select("doc_id", *same)
-    classes = slim.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
+    classes = named.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
     # Copies link to the first of their class and are left out of what follows.
-    copies = scratch.store(slim.join(classes.filter("size > 1").drop("size"), same).filter("doc_id <> first")
+    copies = scratch.store(named.join(classes.filter("size > 1").drop("size"), same).filter("doc_id <> first")
                            .select(F.col("first").alias("u"), F.col("doc_id").alias("v")).distinct(), "copies")
-    single = named.join(copies.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    keys = single.select("doc_id", "spare", F.explode("keys").alias("key"))
+    known = copies.select(F.col("v").alias("doc_id")).distinct()
+    if copies.count() <= BROADCAST_IDS:
+        known = F.broadcast(known)
+    single = texts.filter("doc_id IS NOT NULL").join(known, "doc_id", "left_anti")
+    # Sketches are cheaper to make twice than to store.
+    keys = sketches(single, rule).select("doc_id", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").count().filter("count > 1")
-    rows = scratch.store(keys.join(shared, "key"), "rows")
-    common = (rows.filter(F.col("count") > COMMON).groupBy("doc_id").agg(F.count("*").alias("n_common"), F.min("spare").alias("spare"))
-              .filter("n_common > spare").select("doc_id", F.lit(True).alias("keeps")))
-    rows = scratch.store(rows.join(common, "doc_id", "left").filter((F.col("count") <= COMMON) | F.col("keeps"))
-                         .select("key", "doc_id"), "blocks")
+    rows = keys.join(shared, "key").withColumn("one_each", F.col("key").bitwiseAND(2) == 0)
+    difference = F.expr(f"(n + (n * 100) div {rule.percent}) * {100 - rule.percent} div {100 + rule.percent}")
+    # The smallest partner's spare; one less, as it may fill a block too few.
+    drop = F.when(F.col("one_each"), F.col("n") - difference - 1).otherwise(3 + F.expr(f"(n * {rule.percent} div 100) div 50"))
+    band = Window.partitionBy("doc_id", F.col("key").bitwiseAND(1))
+    rows = (rows.withColumn("place", F.row_number().over(band.orderBy("count", "key")))
+            .withColumn("all", F.count("*").over(band)).filter(F.col("place") <= F.col("all") - drop)
+            # Members known to come before this one in the common order, the rarest first.
+            .withColumn("before", F.when(F.col("one_each"), F.col("n") - F.col("all") + F.col("place") - 1).otherwise(0)))
+    rows = scratch.store(rows.select("key", "doc_id", "n", "before"), "blocks")
     wanted = rows.select("doc_id").distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = scratch.store(_sets(texts.join(wanted, "doc_id", "left_semi"), rule), "sets")
 
     links = copies
@@ -219,15 +247,20 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
                       .withColumn("component", F.coalesce("component", "doc_id")))
         # Only blocks whose sets are not all connected yet.
         spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                           F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component")).alias("pivot")).filter("lo < hi")
+                                           F.min(F.struct((F.col("before") if turn == 0 else F.lit(0)).alias("first"), F.xxhash64("doc_id", F.lit(turn)).alias("second"), "doc_id", "component", "n", "before")).alias("pivot")).filter("lo < hi")
         placed = scratch.store(placed.join(spread.select("key", "pivot"), "key"), "open")
         if placed.isEmpty():
             break
         if turn < PIVOT_ROUNDS:
-            pairs = placed.filter(F.col("component") != F.col("pivot.component")).select("doc_id", F.col("pivot.doc_id").alias("other"))
+            pairs = placed.filter(F.col("component") != F.col("pivot.component")).select(
+                "doc_id", "n", "before", F.col("pivot.doc_id").alias("other"), F.col("pivot.n").alias("other_n"), F.col("pivot.before").alias("other_before"))
         else:
-            other = placed.select("key", F.col("doc_id").alias("other"), F.col("component").alias("other_component"))
-            pairs = placed.join(other, "key").filter("component < other_component").select("doc_id", "other")
+            # Here all pairs of different components in a block are compared, by their parity sketches in the join itself.
+            marked = placed.join(sets.select("doc_id", "parity"), "doc_id")
+            other = marked.select("key", *[F.col(c).alias(f"other_{c}") for c in ("component", "n", "before", "parity")], F.col("doc_id").alias("other"))
+            pairs = marked.join(other, (marked["key"] == other["key"]) & (F.col("component") < F.col("other_component")) & _possible(rule)
+                                & rule.within(F.col("n").cast("long"), F.col("other_n").cast("long"), _hamming("parity", "other_parity")))
+        pairs = pairs.filter(_possible(rule))
         pairs = pairs.select(F.least("doc_id", "other").alias("u"), F.greatest("doc_id", "other").alias("v")).distinct()
         found = scratch.store(_verify(pairs, sets, rule), "links")
         if groups is None or not found.isEmpty():
