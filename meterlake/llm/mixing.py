@@ -55,8 +55,10 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text", source: str = "so
     the budget ends, then part of one document, then none. `taken` is the total, repeats counted.
     Ties in the key go by id and size; rows equal in all three share their places in some order.
     A null text has size 0 and takes 0; a null source is a source of its own; a null id counts as the
-    empty id. Each source may hold any part of the rows. No random numbers: reruns agree.
+    empty id. Each source may hold any part of the rows. No random numbers: reruns agree. Carried
+    columns with the name of a result give way to it.
     """
+    carry = [c for c in carry if c not in ("size", "source_size", "target", "epochs", "rest", "taken")]
     key = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
     inner = [f"carry_{i}" for i in range(len(carry))]
     sized = docs.select(
@@ -66,7 +68,8 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text", source: str = "so
         # One key without nulls, so that joins and windows share their partitioning.
         "place", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
     parts = sized.groupBy("place", "source", "chunk").agg(F.sum("size").alias("chunk_size"))
-    sizes = parts.groupBy("source").agg(F.sum("chunk_size").alias("source_size"))
+    # The same plan as above it, so that Spark reads the documents' sizes once.
+    sizes = parts.groupBy("place", "source").agg(F.sum("chunk_size").alias("source_size")).drop("place")
     budget = targets(sizes, weights, most).withColumn("words", F.floor("target").cast("long"))
     before = Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (parts.withColumn("start", F.coalesce(F.sum("chunk_size").over(before), F.lit(0)))

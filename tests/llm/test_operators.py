@@ -1,0 +1,331 @@
+"""Operators of the llm folder against brute force, round trips and held-out labels, on small fixtures."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from meterlake.llm import (embedding_dedup, language_id, mixing, ngram_jaccard, quality, registry, secret_scan,
+                           sentencepiece_fst, sharding, vector_search, warc)
+from meterlake.storage import Scratch
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, `kept_0` string"
+ODD = [
+    (None, "some words here now", "en", None, 19, "a", "b"), (1, None, None, None, None, None, None),
+    (2, "", "en", "s", 0, "x", "y"), (3, "   \t\n", "en", "s", 5, "x", "y"), (4, "1234 5678", "en", "t", 9, "x", "y"),
+    (5, "The same text of several words", "en", "s", 30, "x", "y"), (5, "The same text of several words", "en", "s", 30, "x", "y"),
+    (6, "the SAME text of several words", "en", "t", 30, "x", "y"), (7, "ab " * 40_000, "en", "t", 120_000, "x", "y"),
+    (8, "日本語 🙂 \x00 ▁ ößé", None, "é", 12, "x", "y"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_language_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = registry.op1_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
+    right, n = out.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 30 and right / n > 0.95
+
+
+def test_language_code_lengths():
+    """Code lengths of a tiny model against escape method C written out."""
+    texts = {"a": b"abab", "b": b"bbbb"}
+    symbol = np.zeros(256, np.uint8)
+    symbol[[97, 98]] = [1, 2]
+    grams, counts = {}, {}
+    for who, t in enumerate(texts.values()):
+        s = [0, 0, 0, *(symbol[c] for c in t)]
+        for i in range(3, len(s)):
+            key = who << 32 | int(s[i - 3]) << 21 | int(s[i - 2]) << 14 | int(s[i - 1]) << 7 | int(s[i])
+            grams[key] = grams.get(key, 0) + 1
+        for order in range(4):
+            for i in range(3, len(s)):
+                c = counts.setdefault((who, tuple(s[i - order: i])), {})
+                c[s[i]] = c.get(s[i], 0) + 1
+    keys = np.array(list(grams), np.int64)
+    model = language_id._freeze(["a", "b"], symbol, 3, keys, np.array(list(grams.values())), 1 << 20)
+
+    def bits(who, s, i, order):
+        if order < 0:
+            return np.log2(3)
+        seen = counts.get((who, tuple(s[i - order: i])))
+        if not seen:
+            return bits(who, s, i, order - 1)
+        total, kinds = sum(seen.values()), len(seen)
+        if s[i] in seen:
+            return np.log2((total + kinds) / seen[s[i]])
+        return np.log2((total + kinds) / kinds) + bits(who, s, i, order - 1)
+
+    data = np.frombuffer(b"abbabxab", np.uint8)
+    got = model.code_lengths(data, np.array([0, 0, 5, 8]))
+    for row, text in zip(got, (b"", b"abbab", b"xab")):
+        s = [0, 0, 0, *(symbol[c] for c in text)]
+        for who in (0, 1):
+            assert row[who] == pytest.approx(sum(bits(who, s, i, 3) for i in range(3, len(s))), rel=1e-5, abs=1e-6)
+
+
+def test_language_odd_rows(odd, none):
+    model = language_id.train(odd)
+    rows = language_id.identify(odd, model, ["doc_id", "score"]).collect()
+    assert len(rows) == len(ODD)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows}
+    assert all(got[i] == ("und", 0.0) for i in (1, 2, 3, 4)) and got[5][0] == "en"
+    empty = language_id.train(none)
+    assert {r["lang_pred"] for r in language_id.identify(odd, empty, ["doc_id"]).collect()} == {"und"}
+    assert language_id.identify(none, model, ["doc_id"]).count() == 0
+
+
+def test_sharding(spark, odd, none):
+    table = sharding.fill_table(sharding.SHARDS)
+    share = np.bincount(table)
+    assert len(table) == sharding.TABLE_SIZE and share.max() - share.min() <= 1
+    fewer = sharding.fill_table(sharding.SHARDS[:-1])
+    kept = sum(a == b for a, b in zip(table, fewer) if a < 15)
+    assert kept / sum(x < 15 for x in table) > 0.8
+    rows = sharding.assign(odd.withColumn("slot", F.lit("own")), "doc_id").collect()
+    assert len(rows) == len(ODD) and all(r["shard"] == sharding.SHARDS[table[r["slot"]]] for r in rows)
+    assert len({r["shard"] for r in rows if r["doc_id"] == 5}) == 1
+    assert sharding.assign(none, "doc_id").count() == 0
+    with pytest.raises(ValueError):
+        sharding.fill_table(("a", "b"), 10)
+
+
+def test_warc_round_trip(spark):
+    big, small = "x" * 400_000, "y" * 99
+    pages = [(3, "http://a/\r\nb", big), (1, None, big), (2, "u", small), (4, "u", small), (5, "u", None), (6, "u", ""),
+             (None, "u", big), (1, "u", "é" * 60), (1, "u", "é" * 60), (7, "u", "é" * 60)]
+    df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, payload string")
+    scratch = Scratch(spark, "test")
+    index = scratch.store(warc.write(warc.with_revisits(df), scratch.path("archive"), frame_bytes=1000, bundle_bytes=2000), "index")
+    records = warc.read(index, 3).collect()
+    want = {(1, "response"): None, (3, "revisit"): 1, (None, "revisit"): 1, (7, "revisit"): 1}
+    assert len(records) == len(pages)
+    for r in records:
+        assert want.get((r["page_id"], r["record_type"])) == r["refers_to"]
+        if r["record_type"] == "response":
+            assert hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"] and len(r["payload"]) == r["payload_bytes"]
+            assert r["payload"].decode() in {h or "" for p, _, h in pages if p == r["page_id"]}
+    frames = {}
+    for r in index.collect():
+        frames.setdefault(r["bundle"], {})[r["frame"]] = (r["frame_offset"], r["frame_bytes"])
+    for path, own in frames.items():
+        assert [(a, b) for a, b, _ in warc.seek_table(path)] == [own[i] for i in range(len(own))]
+    none = warc.write(warc.with_revisits(df.limit(0)), scratch.path("archive"))
+    assert none.count() == 0
+    scratch.clear()
+
+
+def test_pieces_match_the_library(spark, odd, none):
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_fst.MODEL_PATH)
+    rng = random.Random(4)
+    letters = "abcdefghij  \n\tthe tion ing ößéÀ日本語🙂\x00▁AKIA0123456789_-./"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    texts += ["", " ", "     ", "a" * 300, "\n\n", "▁▁ a"]
+    encoder = sentencepiece_fst.Encoder(sentencepiece_fst.load())
+    for text, ids in zip(texts, encoder.encode_all(texts)):
+        assert ids.tolist() == library.encode(text)
+        assert encoder.machine.decode(ids.tolist()) == library.decode(ids.tolist())
+    rows = {r["doc_id"]: r for r in sentencepiece_fst.encode(odd, ["doc_id", "ids", "kept_0"]).collect()}
+    assert rows[1]["ids"] is None and rows[2]["ids"] == [] and not rows[8]["round_trip"] and rows[7]["round_trip"]
+    back = sentencepiece_fst.decode(sentencepiece_fst.encode(odd, ["doc_id"]), ["doc_id"]).collect()
+    assert {r["doc_id"]: r["text"] for r in back}[7] == "ab " * 40_000
+    assert sentencepiece_fst.encode(none, ["doc_id"]).count() == 0
+
+
+def test_piece_probabilities_by_brute_force():
+    scores = {"▁": -2.0, "a": -1.5, "b": -1.7, "ab": -2.0, "▁a": -2.2, "ba": -3.9, "bab": -3.0}
+    machine = sentencepiece_fst.PieceMachine({p: i for i, p in enumerate(scores)}, scores, [], [], merged=False, unknown_weight=20.0)
+
+    def best(text):
+        if not text:
+            return 0.0
+        return min((-scores[text[:k]] if text[:k] in scores else 20.0 if k == 1 else float("inf")) + best(text[k:]) for k in range(1, len(text) + 1))
+
+    for text in ("▁abab", "▁bab▁a", "aabba", "xab"):
+        path = machine.shortest_path(text)
+        assert "".join(path) == text
+        assert sum(-scores[p] if p in scores else 20.0 for p in path) == pytest.approx(best(text))
+
+
+def test_cap_filters_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((300, 64))
+    near = base[:40].repeat(20, 0) + 0.12 * rng.standard_normal((800, 64))
+    hot = base[50] + 0.02 * rng.standard_normal((700, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([base, near, hot, base[:5], base[:5]]))]
+    odd = [(9000, None), (9001, [0.0] * 64), (9002, [float("nan")] * 64), (9003, [1.0, None] * 32), (9004, [1.0]), (None, base[0].tolist())]
+    df = spark.createDataFrame([(i, v, 1.0) for i, v in rows + odd], "vec_id long, embedding array<double>, n_links double")
+    e = np.array([v for _, v in rows])
+    u = e / np.linalg.norm(e, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(e))
+    for _ in range(50):
+        comp = np.minimum(comp, np.where(link, comp[None, :], len(e)).min(axis=1))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    found = np.array([got[i]["n_links"] for i in range(len(e))])
+    assert (found <= link.sum(axis=1)).all() and found.sum() >= 0.995 * link.sum()
+    assert np.mean([got[i]["component_id"] == comp[i] for i in range(len(e))]) > 0.995
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(9000, 9005)) and got[None]["component_id"] is None
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def _jaccard_groups(rows, words, percent):
+    sets = {}
+    for i, text in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        sets[i] = {tuple(w[k: k + words]) for k in range(max(len(w) - words + 1, 1))} if w else set()
+    group = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+             and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(group[a], group[b])
+            changed |= group[a] != low or group[b] != low
+            group[a] = group[b] = low
+    return {i: (len(sets[i]), group[i]) for i in sets}
+
+
+@pytest.mark.parametrize("rule", [ngram_jaccard.Rule(3, 90), ngram_jaccard.Rule(5, 80)])
+def test_jaccard_against_brute_force(spark, rule):
+    """Families of edited texts around the threshold, of all sizes, with passages in common."""
+    rng = random.Random(rule.percent)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(vocabulary, k=30)
+    texts = []
+    for size in (1, 2, 3, 6, 12, 40, 150, 380, 700, 1500):
+        for _ in range(3):
+            root = rng.choices(vocabulary, k=size) + passage * (size > 30)
+            for _ in range(9):
+                copy = list(root)
+                for _ in range(rng.randrange(0, max(2, int(size * 0.09)))):
+                    copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+                texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(9000, None), (9001, ""), (9002, " \n "), (9003, texts[0].upper())]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.similar_groups(df, rule).collect()}
+    assert got == _jaccard_groups(rows, rule.words, rule.percent)
+
+
+def test_jaccard_odd_rows(odd, none):
+    rows = ngram_jaccard.similar_groups(odd, ngram_jaccard.Rule(3, 90)).collect()
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    assert len(rows) == len(ODD) and got[6] == 5 and got[1] == 1 and got[None] is None
+    kept = ngram_jaccard.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5, 7, 8]
+    assert ngram_jaccard.similar_groups(none).count() == 0
+
+
+def test_quality_accuracy(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = registry.op7_quality(spark, "/root/testdata/sf0.01").filter("held_out").join(labels, "doc_id")
+    right, n = out.agg(F.sum((F.col("predicted") == F.col("quality")).cast("int")), F.count("*")).first()
+    assert n > 50 and right / n > 0.95
+
+
+def test_quality_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(5, 1), (7, 0), (4, 0), (4, 1), (3, None), (None, 1)], "doc_id long, quality int")
+    model = quality.train(odd, labels)
+    rows = quality.score(odd, model, ["doc_id", "score", "kept_0"]).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality.score(none, quality.train(none, labels.limit(0)), ["doc_id"]).count() == 0
+
+
+def test_search_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    e = rng.standard_normal((3000, 32)) * rng.uniform(0.5, 2, (3000, 1))
+    e[100:110] = e[90]
+    odd = [(9000, None), (9020, [0.0] * 32), (9040, [float("inf")] * 32), (None, e[0].tolist())]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)] + odd, "vec_id long, embedding array<double>")
+    rows = vector_search.search(df, F.col("vec_id") % 20 == 0, 20).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 3000, 20))
+    hits = 0
+    for q, found in got.items():
+        exact = e @ e[q]
+        assert len(found) == 20 and q not in [i for i, _ in found]
+        assert all(abs(exact[i] - s) < 1e-9 for i, s in found)
+        assert found == sorted(found, key=lambda x: (-x[1], x[0]))
+        exact[q] = -np.inf
+        hits += len({i for i, _ in found} & set(np.argsort(-exact, kind="stable")[:20].tolist()))
+    assert hits / (20 * len(got)) >= 0.9
+    few = vector_search.search(df.filter("vec_id < 6"), F.col("vec_id") % 20 == 0, 20).collect()
+    assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+    assert vector_search.search(df.limit(0), F.lit(True), 20).count() == 0
+
+
+def _base_spans(text):
+    """The three base kinds as they are stated, without any short cut."""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_secrets(spark, odd, none):
+    rng = random.Random(9)
+    parts = ["password", "TOKEN", "apı_key", "api_key", "ſecret", "Secret", " = ", ":", "'", '"', "AKIA", "0123456789abcdef" * 2, "Z9", "é", "🙂", " ", "\n",
+             "abcdefgh", "x.y-z_", "deadbeef", "tokentoken=", "AKIAAKIA0000XXXX"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    models = secret_scan.train(docs)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, None])], "doc_id long, text string, spans string")
+    rows = {r["doc_id"]: r for r in secret_scan.scan(df, models, ["doc_id", "spans"]).collect()}
+    for i, t in enumerate([*texts, ""]):
+        base = _base_spans(t)
+        assert rows[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert ",".join(s for s in rows[i]["spans"].split(",") if not s.startswith("random")) == base
+        assert rows[i]["n_hex"] == base.count("hex:")
+    token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    assert [s[2] for s in secret_scan.spans(f"see {token} here", models)] == ["random"]
+    plain = [t for (t,) in docs.select("text").collect()]
+    extra = [t[a:b] for t in plain for a, b, k in secret_scan.spans(t, models) if k == "random"]
+    assert all(re.search("[0-9]", x) for x in extra) and len(extra) < 0.05 * len(plain)
+    clean = secret_scan.redact(odd, models)
+    assert clean.columns == odd.columns and clean.count() == len(ODD)
+    masked = secret_scan.redact(spark.createDataFrame([(1, "a password=abcdefgh1 b", 5)], "doc_id int, text string, n_chars int"), models).first()
+    assert masked["text"] == "a [secret] b" and masked["n_chars"] == 12
+    assert secret_scan.scan(none, secret_scan.train(none), ["doc_id"]).count() == 0
+
+
+def test_mixing(spark, odd, none):
+    rows = mixing.mix(odd.withColumn("size", F.lit("own")), ["doc_id", "source", "size"]).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert all(int(t) == n for t, n in by.values())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = mixing.mix(docs, ["doc_id", "source"])
+    want = {r["source"]: r["n"] for r in plan.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    copies = mixing.copies(docs)
+    got = {r["source"]: r["n"] for r in copies.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert copies.columns == docs.columns and {k: v for k, v in want.items() if v} == {k: v for k, v in got.items() if v}
+    assert mixing.mix(none, ["doc_id"]).count() == 0 and mixing.copies(none).count() == 0
+
+
+def test_first_words(spark):
+    df = spark.createDataFrame([("  a  b\tc ", 2), ("a b", 1), ("a", 1), ("é\nß x", 2)], "t string, n int")
+    assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == ["  a  b\t", "a ", "a", "é\nß "]
