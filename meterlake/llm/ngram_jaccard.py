@@ -43,7 +43,7 @@ PIVOT_ROUNDS = 2
 #: Widest size ratio within a band, overlap included; bands up to the second size have a block per member.
 BAND_RATIO = 2.5
 SMALL = 384
-#: Copies up to this number are broadcast to leave them out; more are joined by shuffle.
+#: Up to this number of ids, copies to leave out and texts to read again are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -234,7 +234,9 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
             # Members known to come before this one in the common order, the rarest first.
             .withColumn("before", F.when(F.col("one_each"), F.col("n") - F.col("all") + F.col("place") - 1).otherwise(0)))
     rows = scratch.store(rows.select("key", "doc_id", "n", "before"), "blocks")
-    wanted = rows.select("doc_id").distinct()
+    wanted = scratch.store(rows.select("doc_id").distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     sets = scratch.store(_sets(texts.join(wanted, "doc_id", "left_semi"), rule), "sets")
 
     links = copies
