@@ -73,7 +73,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
           rate: float = 0.4, seed: int = 7) -> QualityModel:
     """Learn from about `docs_per_label` whole documents of each label, chosen by a hash of the id.
 
-    That number is the bound of the sample that reaches the driver. A document with both labels, a
+    That number is the bound of the sample, which one task learns from. A document with both labels, a
     null label or a null text is not used. With only one label present, or none, the model knows only
     the labels' share.
     """
@@ -104,13 +104,26 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 [batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())),
                  pa.array(shares, pa.list_(pa.float32()))], ["mark_id", "mark", "ids", "shares"])
 
-    got = (chosen.select("mark_id", "text", "mark")
-           .mapInArrow(gather, chosen.select("mark_id", "mark").schema.simpleString()[7:-1].replace(":", " ")
-                       + ", ids array<int>, shares array<float>").toArrow())
-    order = np.lexsort((np.array([len(x) for x in got["ids"]]), got["mark_id"].to_numpy()))
-    ids = [got["ids"][int(i)].values.to_numpy() for i in order]
-    shares = [got["shares"][int(i)].values.to_numpy() for i in order]
-    return _descend(ids, shares, got["mark"].to_numpy()[order], width, epochs, rate, seed)
+    features = (chosen.select("mark_id", "text", "mark")
+                .mapInArrow(gather, chosen.select("mark_id", "mark").schema.simpleString()[7:-1].replace(":", " ")
+                            + ", ids array<int>, shares array<float>"))
+
+    def learn(batches):
+        rows = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        ids, shares, marks, keys = [], [], [], []
+        for part in rows:
+            marks.append(part["mark"].to_numpy())
+            keys.append(part["mark_id"].to_numpy())
+            ids += [x.values.to_numpy() for x in part["ids"]]
+            shares += [x.values.to_numpy() for x in part["shares"]]
+        order = np.lexsort(([len(x) for x in ids], np.concatenate(keys))) if ids else np.zeros(0, np.int64)
+        mark = np.concatenate(marks)[order] if ids else np.zeros(0, np.int64)
+        model = _descend([ids[i] for i in order], [shares[i] for i in order], mark, width, epochs, rate, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+
+    # The bounded sample is learned from in one task, so that the driver only gets the model.
+    made = features.repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    return QualityModel(np.frombuffer(made["weights"], np.float32), made["bias"])
 
 
 def _descend(ids: list[np.ndarray], shares: list[np.ndarray], marks: np.ndarray, width: int, epochs: int,
