@@ -980,11 +980,11 @@ def _(spark, d):
 WITH t AS (SELECT conv_id, turn, text || ' /Users/x/' || role || ' /private/tmp/y /tmp/z '
              || 'sk-abcdefghijklmnop' || conv_id || ' ghp_0123456789abcdef' || turn AS s
            FROM conversations)
-SELECT conv_id, turn, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,
+SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,
   '/Users/[^\\s"''`]+', '[local path]', 'g'),
   '/(?:private/)?tmp/[^\\s"''`]+', '[temporary path]', 'g'),
   '\\b(?:sk-[A-Za-z0-9_-]{16,}|lin_api_[A-Za-z0-9_-]{12,}|gh[pousr]_[A-Za-z0-9_-]{16,})\\b',
-  '[redacted credential-like text]', 'g'), '\\s+', ' ', 'g'), 180) AS title FROM t""")
+  '[redacted credential-like text]', 'g'), '\\s+', ' ', 'g') AS title FROM t""")
 def _(spark, d):
     conv = spark.read.parquet(f"{d}/conversations.parquet")
     s = F.concat("text", F.lit(" /Users/x/"), "role", F.lit(" /private/tmp/y /tmp/z "

@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 OSC_SEQUENCE = "\\x1b\\][^\\x07]*(?:\\x07|\\x1b\\\\)"
 CSI_SEQUENCE = "\\x1b\\[[0-?]*[ -/]*[@-~]"
 CONTROL_RUN = "[\\x00-\\x1f\\x7f-\\u009f]+"
-USER_PATH = "/Users/[^\\s\"'`]+"
-TEMP_PATH = "/(?:private/)?tmp/[^\\s\"'`]+"
+# White space as browsers know it, ASCII and Unicode.
+WHITE_SPACE = (
+    " \t\n\r\f\x0b\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+SPACES = f"[{WHITE_SPACE}]+"
+USER_PATH = f"/Users/[^{WHITE_SPACE}\"'`]+"
+TEMP_PATH = f"/(?:private/)?tmp/[^{WHITE_SPACE}\"'`]+"
 SECRET_TEXT = (
     "\\b(?:sk-[A-Za-z0-9_-]{16,}|lin_api_[A-Za-z0-9_-]{12,}|gh[pousr]_[A-Za-z0-9_-]{16,})\\b"
 )
@@ -26,11 +32,10 @@ UNLABELLED = "Unlabelled activity"
 OTHER_ACTIVITY = "Other activity"
 UNKNOWN_PROJECT = "Unknown project"
 
-_SPACE = " \t\n\r\f\x0b"
 
 
 def _trim(c: Column) -> Column:
-    return F.btrim(c, F.lit(_SPACE))
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def _text(c: Column) -> Column:
@@ -51,7 +56,7 @@ def strip_control(c: Column) -> Column:
 
 def clean_label(c: Column, fallback: str) -> Column:
     return F.coalesce(
-        _present(_trim(F.regexp_replace(strip_control(c), r"\s+", " "))), F.lit(fallback)
+        _present(_trim(F.regexp_replace(strip_control(c), SPACES, " "))), F.lit(fallback)
     )
 
 
@@ -69,7 +74,7 @@ def _base_name(c: Column) -> Column:
 
 def safe_base_name(c: Column, fallback: str = "local path") -> Column:
     name = _base_name(F.translate(_text(c), "\\", "/"))
-    label = _trim(F.regexp_replace(strip_control(name), r"\s+", " "))
+    label = _trim(F.regexp_replace(strip_control(name), SPACES, " "))
     return F.when(label.isin("", ".", ".."), F.lit(fallback)).otherwise(label)
 
 
@@ -82,9 +87,11 @@ _QUOTED = {
     )
     for q in ("'", '"')
 }
-_STOP = "\\s\"'`)\\],;}"
+# Fixed value: the characters that end a bare path, in their published order. The alternatives below are
+# written out because the expressions are shared with an engine without look-ahead.
+_STOP = WHITE_SPACE + "\"'`)\\]},;"
 _BARE = (
-    "(^|[\\s(\\[{=])"
+    f"(^|[{WHITE_SPACE}(\\[{{=])"
     f"(?:(?://|\\\\\\\\|[A-Za-z]:[\\\\/])[^{_STOP}]+|/[^/{_STOP}][^{_STOP}]*)"
 )
 
@@ -110,7 +117,7 @@ def usage_type_label(c: Column) -> Column:
 
     def title(w: Column) -> Column:
         low = F.lower(w)
-        cap = F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1_000_000))
+        cap = F.concat(F.upper(F.substring(low, 1, 1)), F.substr(low, F.lit(2)))
         return F.when(low.isin(UPPER_CASE_TYPES), F.upper(low)).otherwise(cap)
 
     joined = F.array_join(F.transform(words, title), " ")
@@ -135,7 +142,7 @@ def clean_remote(c: Column) -> Column:
     )
     from_url = F.when(path != "", F.concat_ws("/", host, path)).otherwise(host)
     stripped = F.regexp_replace(remote, "//[^/@]+@", "//")
-    rest = F.substring(F.regexp_replace(stripped, r"(?i)\.git$", ""), 1, 160)
+    rest = F.regexp_replace(stripped, r"(?i)\.git$", "")
     return (
         F.when(_present(c).isNull(), F.lit(None).cast("string"))
         .when(scp_host != "", F.concat_ws("/", scp_host, bare_path))
@@ -189,7 +196,7 @@ def source_labels(thread_source: Column, raw_source: Column) -> Column:
         .when(word == "vscode", pair(F.lit("desktop"), F.lit("interactive")))
         .when(
             word.isNotNull(),
-            pair(F.substring(word, 1, 40), F.coalesce(kind, F.lit("interactive"))),
+            pair(word, F.coalesce(kind, F.lit("interactive"))),
         )
         .otherwise(pair(F.lit("unknown"), F.coalesce(kind, F.lit("unknown"))))
     )
@@ -200,7 +207,7 @@ def redact_title(c: Column) -> Column:
     out = F.regexp_replace(_text(c), USER_PATH, LOCAL_PATH)
     out = F.regexp_replace(out, TEMP_PATH, TEMPORARY_PATH)
     out = F.regexp_replace(out, SECRET_TEXT, REDACTED_SECRET)
-    return F.substring(F.regexp_replace(out, r"\s+", " "), 1, 180)
+    return F.regexp_replace(out, SPACES, " ")
 
 
 def safe_title(

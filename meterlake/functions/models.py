@@ -134,10 +134,6 @@ def event_credits(rates: dict[str, Rate] = RATE_CARD) -> Column:
     return F.coalesce(with_priority(now, F.col("service_tier")), F.when(keep, stored))
 
 
-def rate_card_frame(spark: SparkSession, rates: dict[str, Rate] = RATE_CARD) -> DataFrame:
-    rows = [(m, r.input, r.cached, r.output) for m, r in rates.items()]
-    return spark.createDataFrame(rows, "model string, input double, cached double, output double")
-
 
 def project_family(model: Column) -> Column:
     """Label used in project tables: unknown models keep their cleaned name."""

@@ -34,13 +34,14 @@ def epoch_ms(c: Column) -> Column:
     return F.when(d > 10_000_000_000, d).otherwise(d * 1_000).cast("long")
 
 
-def millis(ts: Column) -> Column:
-    return F.unix_millis(ts)
-
 
 def safe_ts(c: Column, fallback: Column | None = None) -> Column:
-    """Parse an ISO instant at millisecond precision, or give the fallback."""
-    ts = F.timestamp_millis(F.unix_millis(F.try_to_timestamp(c)))
+    """Parse an ISO instant at millisecond precision, or give the fallback.
+
+    Plain numbers are epoch times; a time without a date is no instant.
+    """
+    dated = F.when(c.rlike(r"^\d{4}-"), F.timestamp_millis(F.unix_millis(F.try_to_timestamp(c))))
+    ts = F.when(c.rlike(r"^\d{5,}(\.\d+)?$"), epoch_to_ts(c)).otherwise(dated)
     return F.coalesce(ts, fallback) if fallback is not None else ts
 
 

@@ -69,8 +69,7 @@ def _labels(model: Column, effort: Column, cwd: Column, git: Column, raw_source:
         project_label(F.coalesce(blank(cwd), row["cwd"]),
                       F.coalesce(blank(git), row["git_origin_url"])).alias("project"),
         normalize_model(F.coalesce(blank(model), blank(row["model"]), unknown)).alias("model"),
-        F.substring(F.coalesce(blank(effort), blank(row["reasoning_effort"]), unknown), 1, 40)
-        .alias("effort"),
+        F.coalesce(blank(effort), blank(row["reasoning_effort"]), unknown).alias("effort"),
         kinds["source"].alias("source"),
         kinds["use_type"].alias("use_type"),
     )

@@ -302,14 +302,6 @@ def burn_totals(bins: DataFrame) -> DataFrame:
     return bins.groupBy(ACCOUNT).agg(F.sum("points").alias("points_burned"))
 
 
-def effort_totals(displayed: DataFrame) -> DataFrame:
-    """Tokens per trend family and effort, with the first event of each."""
-    effort = F.lower(F.coalesce(F.nullif("effort", F.lit("")), F.lit("unknown")))
-    return displayed.groupBy(
-        ACCOUNT, trend_family(F.col("model")).alias("model"), effort.alias("effort")
-    ).agg(F.sum(non_negative(F.col("total_tokens"))).alias("tokens"),
-          F.min(F.struct("ts", "seen")).alias("first_event"))
-
 
 def model_stats(
     displayed: DataFrame, spans: DataFrame, b: Bounds, rates: dict[str, Rate] = RATE_CARD
@@ -348,8 +340,3 @@ def model_stats(
         F.when(t > 0, F.col("rated_tokens") / t * 100).alias("rated_percent"),
         family_order(F.col("model")).alias("position"),
     )
-
-
-def stats_order() -> list[Column]:
-    """Display order of model statistics."""
-    return [F.desc("burn_points"), F.desc("tokens"), F.asc("position"), F.asc("model")]

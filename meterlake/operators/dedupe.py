@@ -71,10 +71,6 @@ def dedupe_calls(tokens: DataFrame) -> DataFrame:
     )
 
 
-def duplicates_skipped(calls: DataFrame) -> DataFrame:
-    return calls.groupBy(ACCOUNT).agg(
-        F.sum(F.col("copies") - 1).alias("duplicate_events_skipped"))
-
 
 def dedupe_tool_calls(calls: DataFrame) -> DataFrame:
     """One row per tool call: by its own id, else by its number within (turn, type, name)."""

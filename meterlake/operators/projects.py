@@ -130,9 +130,7 @@ def with_share(rows: DataFrame) -> DataFrame:
     """Token and credit shares of each row in its account's total."""
     totals = rows.groupBy(ACCOUNT).agg(
         F.sum("total_tokens").alias("all_tokens"), F.sum("rate_card_credits").alias("all_credits"))
-    credits = F.when(
-        F.col("rate_card_credits") <= 9_007_199_254_740_991, F.col("rate_card_credits")
-    ).otherwise(0.0)
+    credits = F.coalesce("rate_card_credits", F.lit(0.0))
     base = F.when(F.col("all_credits") != 0, F.col("all_credits")).otherwise(1.0)
     return rows.join(totals, ACCOUNT).select(
         *rows.columns,
@@ -176,10 +174,6 @@ def cache_coverage(events: DataFrame) -> DataFrame:
     )
 
 
-def family_spine(spark: SparkSession, families: list[str], name: str = "model") -> DataFrame:
-    return spark.createDataFrame([(f, i) for i, f in enumerate(families)],
-                                 f"{name} string, position int")
-
 
 def model_totals(events: DataFrame) -> DataFrame:
     """Tokens per dashboard family, every family listed in fixed order."""

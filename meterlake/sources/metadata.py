@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.functions.labels import SPACES
 from meterlake.functions.numbers import safe_ts
 from meterlake.keys import ACCOUNT
 from meterlake.sources.rollouts import _account, _missing
@@ -28,7 +29,7 @@ def titles_from_lines(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("v", F.try_parse_json("value")).select(
         ACCOUNT, "block", "ord",
         text("$.id").alias("thread_id"),
-        F.substring(F.regexp_replace(text("$.thread_name"), r"\s+", " "), 1, 180).alias("title"),
+        F.regexp_replace(text("$.thread_name"), SPACES, " ").alias("title"),
         text("$.updated_at").alias("updated_at"),
     ).filter("thread_id is not null and title is not null")
     epoch = F.timestamp_millis(F.lit(0))

@@ -212,7 +212,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
         .when(k == "settings", text(settings["reasoning_effort"])).alias("set_effort"),
         only(["meta", "turn"], text(p["cwd"])).alias("set_cwd"),
         only("settings", F.struct(
-            text(F.substring(F.btrim(F.coalesce(settings["service_tier"], F.lit(""))), 1, 40))
+            text(F.btrim(F.coalesce(settings["service_tier"], F.lit(""))))
             .alias("tier"))).alias("set_tier"),
         only("meta", F.struct(
             text(p["id"]).alias("id"), text(p["git"]["repository_url"]).alias("git"),
@@ -221,7 +221,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
             text(F.col("spawner")).alias("spawner"),
         )).alias("meta"),
         only("call", F.struct(
-            p["type"].alias("type"), F.substring(tool, 1, 80).alias("name"),
+            p["type"].alias("type"), tool.alias("name"),
             F.coalesce(text(p["call_id"]), text(p["id"])).alias("stable_id"),
         )).alias("call"),
         only("tokens", F.struct(
@@ -232,7 +232,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
         only("tokens", F.struct(
             F.coalesce(text(limits["limit_id"]), text(limits["limit_name"]), F.lit("anonymous"))
             .alias("limit"),
-            F.substring(text(limits["limit_name"]), 1, 80).alias("limit_name"),
+            text(limits["limit_name"]).alias("limit_name"),
             F.coalesce(text(limits["plan_type"]), F.lit("unknown")).alias("plan_type"),
             F.array(_bucket(limits["primary"]), _bucket(limits["secondary"])).alias("buckets"),
         )).alias("limits"),

@@ -69,12 +69,38 @@ def update_context(
     return True
 
 
+def _fingerprint(spark: SparkSession, store: str, meta: Metadata) -> str | None:
+    """The manifest's version with sizes and hashes of the metadata; none without any manifest."""
+    try:
+        version, _ = current_version(spark, f"{store}/files")
+    except LedgerError:
+        return None
+    parts = [version]
+    for table in (meta.titles, meta.state, meta.edges):
+        row = table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*table.columns))).first()
+        parts += [str(row[0]), str(row[1])]
+    return "-".join(parts)
+
+
+def _built(spark: SparkSession, store: str) -> str | None:
+    try:
+        return current_version(spark, f"{store}/built")[0]
+    except LedgerError:
+        return None
+
+
 def refresh(
     spark: SparkSession, roots: list[str], store: str, meta: Metadata,
     account: str | Column = "default", generated_at: datetime | None = None,
 ) -> bool:
-    """Bring the stored ledger up to date with the logs."""
-    if not update_context(spark, roots, store, account):
+    """Bring the stored ledger up to date with the logs and with titles, state and edges.
+
+    The ledger is current if what it was built from is what there is now: a build that failed, and
+    changed metadata, are made up for by the next call.
+    """
+    update_context(spark, roots, store, account)
+    wanted = _fingerprint(spark, store, meta)
+    if wanted is None or wanted == _built(spark, store):
         return False
     now = generated_at or datetime.now(UTC)
     sources = _manifest(spark, store).select(_account(account).alias(ACCOUNT), "file", "size")
@@ -85,6 +111,7 @@ def refresh(
             raise
         return False
     write_ledger(build_ledger(spark, ctx, sources, meta, now), f"{store}/ledger", now)
+    publish(spark, f"{store}/built", wanted, now)
     return True
 
 
