@@ -994,21 +994,23 @@ def _(spark, d):
 
 
 @_q("project_labels", """
-WITH t AS (SELECT page_id, url, page_id % 4 AS m,
+WITH t AS (SELECT page_id, url, page_id % 5 AS m,
   regexp_extract(url, '^https?://([^/]+)', 1) AS host,
   regexp_replace(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), '\\.git$', '') AS path
   FROM pages),
 l AS (SELECT page_id, string_split(CASE m
     WHEN 0 THEN lower(host) || '/' || path
     WHEN 1 THEN 'git.example.org/team/r' || page_id
+    WHEN 4 THEN 'crew/r' || page_id
     ELSE '' END, '/') AS parts, m FROM t)
-SELECT page_id, CASE WHEN m < 2 THEN array_to_string(list_filter(parts, lambda p: p <> '')[-2:], '/')
+SELECT page_id, CASE WHEN m IN (0, 1, 4) THEN array_to_string(list_filter(parts, lambda p: p <> '')[-2:], '/')
   WHEN m = 2 THEN 'r' || page_id ELSE 'wt' || page_id END AS project FROM l""")
 def _(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    n, m = F.col("page_id").cast("string"), F.col("page_id") % 4
+    n, m = F.col("page_id").cast("string"), F.col("page_id") % 5
     remote = F.when(m == 0, F.col("url")).when(
-        m == 1, F.concat(F.lit("git@git.example.org:team/r"), n, F.lit(".git")))
+        m == 1, F.concat(F.lit("git@git.example.org:team/r"), n, F.lit(".git"))).when(
+        m == 4, F.concat(F.lit("work:crew/r"), n, F.lit(".git")))
     cwd = F.when(m == 2, F.concat(F.lit("C:\\work\\r"), n, F.lit("\\"))).otherwise(
         F.concat(F.lit("/home/u/.codex/worktrees/ab12/wt"), n))
     return pages.select("page_id", L.project_label(cwd, remote).alias("project"))

@@ -141,11 +141,16 @@ def clean_remote(c: Column) -> Column:
         r"(?i)\.git$", "",
     )
     from_url = F.when(path != "", F.concat_ws("/", host, path)).otherwise(host)
+    # A host alias without user reads as a scheme: nothing but the path is left.
+    alias = remote.rlike(r"^(?!(?i:https?|ftp|wss?|file):)[A-Za-z][A-Za-z0-9+.-]*:[^/]")
+    alias_path = F.regexp_replace(
+        F.regexp_replace(remote, r"^[^:]+:|[?#].*$", ""), r"(?i)\.git$", "")
     stripped = F.regexp_replace(remote, "//[^/@]+@", "//")
     rest = F.regexp_replace(stripped, r"(?i)\.git$", "")
     return (
         F.when(_present(c).isNull(), F.lit(None).cast("string"))
         .when(scp_host != "", F.concat_ws("/", scp_host, bare_path))
+        .when(alias, F.concat(F.lit("/"), alias_path))
         .when(host.isNotNull(), from_url)
         .otherwise(rest)
     )

@@ -17,7 +17,7 @@ from meterlake.functions.numbers import local_date, non_negative, zoned_midnight
 from meterlake.keys import ACCOUNT, LONG_GAP_MS
 from meterlake.operators.meter import ORDER
 from meterlake.operators.scan import Running, running, time_chunk
-from meterlake.operators.windows import Bounds
+from meterlake.operators.windows import Bounds, in_range
 from meterlake.storage import materialize
 
 UNATTRIBUTED = "Unattributed"
@@ -59,9 +59,23 @@ def burn_intervals(tl: DataFrame, b: Bounds) -> DataFrame:
                  > LONG_GAP_MS)
 
 
-def _weighable(events: DataFrame, b: Bounds, rates: dict[str, Rate]) -> DataFrame:
-    """The few event columns that attribution needs."""
-    return events.filter(F.col("ts") < F.lit(b.end)).select(
+def _shown_cycles(tl: DataFrame, b: Bounds) -> DataFrame:
+    """Cycles with a reading in the window, and the one whose last reading is carried to its start."""
+    cycles = tl.filter(F.col("ts") < F.lit(b.end)).groupBy(ACCOUNT, "cycle").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    early = F.when(F.col("first_ts") <= F.lit(b.start), F.col("cycle"))
+    carried = F.max(early).over(Window.partitionBy(ACCOUNT))
+    return cycles.withColumn("carried", carried).filter(
+        (F.col("last_ts") >= F.lit(b.start)) | (F.col("cycle") == F.col("carried"))
+    ).select(ACCOUNT, "cycle")
+
+
+def _weighable(
+    events: DataFrame, intervals: DataFrame, b: Bounds, rates: dict[str, Rate]
+) -> DataFrame:
+    """The few event columns that attribution needs, from the earliest span's start on."""
+    low = intervals.agg(F.min("start_ts")).scalar()
+    return in_range(events, low, F.lit(b.end)).select(
         ACCOUNT, "ts", trend_family(F.col("model")).alias("family"),
         local_date(F.col("ts"), b.tz).alias("day"),
         event_credits(rates).alias("credits"),
@@ -96,11 +110,19 @@ def assign_events(intervals: DataFrame, events: DataFrame, at: str = "ts") -> Da
 
 
 def burn_cells(
-    tl: DataFrame, events: DataFrame, b: Bounds, rates: dict[str, Rate] = RATE_CARD
+    tl: DataFrame, events: DataFrame, b: Bounds, rates: dict[str, Rate] = RATE_CARD,
+    shown_only: bool = False,
 ) -> DataFrame:
-    """Event sums per span, family and local day; a span's own row has a null family."""
-    intervals = materialize(burn_intervals(tl, b), "intervals")
-    pairs = assign_events(intervals, _weighable(events, b, rates))
+    """Event sums per span, family and local day; a span's own row has a null family.
+
+    With ``shown_only``, only cycles that the window shows are told of, so events before the first
+    of them are not read.
+    """
+    found = burn_intervals(tl, b)
+    if shown_only:
+        found = found.join(_shown_cycles(tl, b), [ACCOUNT, "cycle"], "left_semi")
+    intervals = materialize(found, "intervals")
+    pairs = assign_events(intervals, _weighable(events, intervals, b, rates))
     rated = F.coalesce(F.col("credits") > 0, F.lit(False))
     return pairs.groupBy(
         ACCOUNT, *[F.col(f"iv.{c}").alias(c) for c in INTERVAL[1:]], "family", "day"
@@ -190,10 +212,11 @@ def allocate(cells: DataFrame, b: Bounds) -> DataFrame:
 
 
 def burn(
-    tl: DataFrame, events: DataFrame, b: Bounds, rates: dict[str, Rate] = RATE_CARD
+    tl: DataFrame, events: DataFrame, b: Bounds, rates: dict[str, Rate] = RATE_CARD,
+    shown_only: bool = False,
 ) -> DataFrame:
-    """Attributed spans up to the window's end (all history, since cycles start before it)."""
-    return materialize(allocate(burn_cells(tl, events, b, rates), b), "spans")
+    """Attributed spans up to the window's end: of all history, or of the cycles the window shows."""
+    return materialize(allocate(burn_cells(tl, events, b, rates, shown_only), b), "spans")
 
 
 def burn_by_model(spans: DataFrame) -> DataFrame:

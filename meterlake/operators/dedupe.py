@@ -93,7 +93,10 @@ def _plain_number(c: Column) -> Column:
 
 
 def dedupe_quota(readings: DataFrame) -> DataFrame:
-    """One row per (limit, window, reset, used): likely originals, then earliest, then first."""
+    """One row per (limit, window, reset, used): likely originals, then earliest, then first.
+
+    Their place is by time and then by position, whatever the order of the files.
+    """
     position = scan_position(F.col("part"))
     key = F.concat_ws("|", "limit_key", "window_minutes", "resets_at",
                       _plain_number(F.col("used_percent")))
@@ -110,7 +113,7 @@ def dedupe_quota(readings: DataFrame) -> DataFrame:
             F.lit("log").alias("source"),
             F.lit(None).cast("string").alias("scope"),
             F.lit(None).cast("timestamp").alias("event_cutoff_at"),
-            "seen",
+            F.struct(F.unix_micros("o.ts").alias("at"), "seen.*").alias("seen"),
         )
     )
 

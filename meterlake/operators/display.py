@@ -11,7 +11,7 @@ from meterlake.keys import ACCOUNT
 from meterlake.operators.burn import _bin_of, bin_days
 from meterlake.operators.meter import ORDER, current_meter
 from meterlake.operators.scan import Running, running, time_chunk
-from meterlake.operators.windows import Bounds
+from meterlake.operators.windows import Bounds, in_range
 
 
 def resets(tl: DataFrame, b: Bounds) -> DataFrame:
@@ -117,7 +117,8 @@ def quota_cycle(
         F.timestamp_millis(through).alias("cycle_through"),
     ).filter("cycle_through >= cycle_from")
     shown = (F.col("ts") >= F.lit(b.start)) & (F.col("ts") < F.lit(b.end))
-    slim = events.select(
+    ends = [meter.agg(F.min("cycle_from")).scalar(), meter.agg(F.max("cycle_through")).scalar()]
+    slim = in_range(events, *ends).select(
         ACCOUNT, "ts", F.coalesce("total_tokens", F.lit(0)).alias("tokens"),
         event_credits(rates).alias("c"), shown.alias("shown"))
     inside = slim.join(meter.select(ACCOUNT, "cycle_from", "cycle_through"), ACCOUNT).filter(

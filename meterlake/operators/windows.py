@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from datetime import UTC, date, datetime, time, timedelta
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.keys import MAX_WINDOW_DAYS
@@ -110,6 +110,14 @@ def prior_window(b: Bounds) -> Bounds:
                    last_day=b.last_day - span)
 
 
+def in_range(df: DataFrame, start: Column, end: Column, ts: str = "ts") -> DataFrame:
+    """Rows with start ≤ time ≤ end, both found by a query; stored event dates prune partitions."""
+    out = df.filter((F.col(ts) >= start) & (F.col(ts) <= end))
+    if "event_date" in df.columns:
+        out = out.filter(F.col("event_date").between(F.to_date(start), F.to_date(end)))
+    return out
+
+
 def in_window(df: DataFrame, b: Bounds, ts: str = "ts") -> DataFrame:
     """Rows with start ≤ time < end; stored event dates prune partitions as well."""
     out = df.filter((F.col(ts) >= F.lit(b.start)) & (F.col(ts) < F.lit(b.end)))

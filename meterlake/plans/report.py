@@ -21,7 +21,10 @@ from meterlake.storage import materialize
 
 @dataclass(frozen=True)
 class UsageTrend:
-    """The trend of a window. Accounts without meter readings appear in ``models`` only."""
+    """The trend of a window. Accounts without meter readings appear in ``models`` only.
+
+    ``spans`` are those of the cycles that the window shows, from their beginnings.
+    """
 
     bounds: Bounds
     observations: DataFrame
@@ -41,7 +44,7 @@ def usage_trend(
     """Tie the window's meter drops to models and days."""
     obs = select_meter(weekly_observations(quota))
     tl = normalize_timeline(obs)
-    spans = burning.burn(tl, events, b, rates)
+    spans = burning.burn(tl, events, b, rates, shown_only=True)
     every = materialize(burning.meter_points(tl, spans, b), "points")
     shown = display.display_points(every, b)
     inside = F.col("ts") >= F.lit(b.start)

@@ -99,6 +99,8 @@ def test_labels(spark):
         L.safe_title(none, none, none, F.lit("subagent"), none, none, F.lit("123456789")),
         L.source_labels(none, F.lit('{"subagent":"x"}')),
         L.clean_label(F.lit("\x1b[31mred\x1b[0m\t\n x"), "none"),
+        L.project_label(F.lit("/x/y"), F.lit("work:crew/repo.git")),
+        L.project_label(F.lit("/x/y"), F.lit("https://u@host.example:8443/team/repo.git?x=1")),
     )
     assert r[0] == "team/repo"
     assert r[1] == "name"
@@ -108,3 +110,4 @@ def test_labels(spark):
     assert r[5] == "Subagent · 12345678"
     assert tuple(r[6]) == ("subagent", "subagent")
     assert r[7] == "red x"
+    assert (r[8], r[9]) == ("crew/repo", "team/repo")

@@ -2,10 +2,11 @@ import random
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterlake.operators import burn as burning
-from meterlake.operators import meter
-from meterlake.operators.windows import multi_day_window
+from meterlake.operators import dedupe, meter
+from meterlake.operators.windows import in_range, multi_day_window
 from meterlake.plans.report import usage_trend
 
 OBS = (
@@ -140,3 +141,38 @@ def test_priority_weighs_half_as_much_again(spark):
     spans = burning.burn(meter.timeline(quota), events, b)
     got = {r["model"]: r["model_points"] for r in burning.burn_by_model(spans).collect()}
     assert got == {"Sol": pytest.approx(15), "GPT-5.5": pytest.approx(10)}
+
+
+def test_cycles_before_the_window_are_not_read(spark, tmp_path):
+    b = multi_day_window("2026-08-15", "UTC", 3)
+    quota = readings(spark, [("2026-07-30T06:00", 0, "2026-08-05T00:00"),
+                             ("2026-07-31T18:00", 40, "2026-08-05T00:00"),
+                             ("2026-08-12T06:00", 5, "2026-08-19T00:00"),
+                             ("2026-08-14T18:00", 25, "2026-08-19T00:00")])
+    days = ["2026-07-31T10:00", "2026-08-12T05:00", "2026-08-13T10:00", "2026-08-14T10:00"]
+    rows = [event(i, t, "gpt-5.6-sol" if i % 2 else "gpt-5.5", 1_000_000) for i, t in enumerate(days)]
+    path = str(tmp_path / "events")
+    spark.createDataFrame(rows, EV).withColumn("event_date", F.to_date("ts")).write.partitionBy("event_date").parquet(path)
+    events = spark.read.parquet(path)
+    tl = meter.timeline(quota)
+    some, every = burning.burn(tl, events, b, shown_only=True), burning.burn(tl, events, b)
+    assert {r["cycle"] for r in every.collect()} > {r["cycle"] for r in some.collect()}
+    pairs = [burning.clip, burning.burn_bins, burning.allocation_method]
+    for f in pairs:
+        assert f(some, b).exceptAll(f(every, b)).isEmpty() and f(every, b).exceptAll(f(some, b)).isEmpty()
+    low = spark.createDataFrame([(at("2026-08-12T00:00"),)], "t timestamp").agg(F.min("t")).scalar()
+    plan = in_range(events, low, F.lit(b.end))._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "PartitionFilters" in x).split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert ">=" in scan and "subquery" in scan
+
+
+def test_equal_meters_are_settled_by_time_not_by_file(spark):
+    rows = [("a", key, 10080, epoch("2026-08-19T00:00"), used, at(t), None, key, True, file, 0, i, 0)
+            for i, (key, used, t, file) in enumerate([
+                ("late", 1.0, "2026-08-13T00:00", "archived/x.jsonl"), ("late", 2.0, "2026-08-13T01:00", "archived/x.jsonl"),
+                ("early", 1.0, "2026-08-12T00:00", "sessions/y.jsonl"), ("early", 2.0, "2026-08-12T01:00", "sessions/y.jsonl")])]
+    quota = dedupe.dedupe_quota(spark.createDataFrame(rows, (
+        "account_id string, limit_key string, window_minutes int, resets_at long, used_percent double, ts timestamp, "
+        "plan_type string, limit_name string, original_likely boolean, file string, block long, ord long, part int")))
+    got = meter.select_meter(meter.weekly_observations(quota))
+    assert {r["limit_key"] for r in got.collect()} == {"early"}
