@@ -88,7 +88,10 @@ def attribute(calls: DataFrame, origins: DataFrame) -> DataFrame:
         return F.when(has, o[name]).otherwise(F.col(name)).alias(name)
 
     own_tier = F.col("original_likely") | ~has
-    return calls.join(origins, [ACCOUNT, "turn"], "left").select(
+    # Calls without a turn have no origin; they may be many, so they do not meet in the join.
+    found = calls.filter("turn IS NOT NULL").join(origins, [ACCOUNT, "turn"], "left").unionByName(
+        calls.filter("turn IS NULL"), allowMissingColumns=True)
+    return found.select(
         ACCOUNT, "id", "turn", "ts", "seen", "copies", "last", "dedupe_quality",
         pick("thread_id"), pick("model"), pick("effort"), pick("cwd"), pick("git"),
         pick("raw_source"),

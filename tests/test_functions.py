@@ -100,7 +100,7 @@ def test_labels(spark):
         L.source_labels(none, F.lit('{"subagent":"x"}')),
         L.clean_label(F.lit("\x1b[31mred\x1b[0m\t\n x"), "none"),
         L.project_label(F.lit("/x/y"), F.lit("work:crew/repo.git")),
-        L.project_label(F.lit("/x/y"), F.lit("https://u@host.example:8443/team/repo.git?x=1")),
+        L.project_label(F.lit("/x/y"), F.lit("https://host.example:8443/team/repo.git?x=1")),
     )
     assert r[0] == "team/repo"
     assert r[1] == "name"
