@@ -83,24 +83,33 @@ def _weighable(
     )
 
 
-def assign_events(intervals: DataFrame, events: DataFrame, at: str = "ts") -> DataFrame:
-    """Pair each event with the span (start, end] holding it; spans of an account are disjoint.
+def place_events(intervals: DataFrame, events: DataFrame, at: str = "ts") -> DataFrame:
+    """Ends of spans and events in one stored table, cut into even ranges of (account, time).
 
-    The span holding an event is the first one ending at or after it, so one pass from late to
-    early settles all events without comparing events with spans. Spans come back as rows of their
-    own with null event columns, so that spans without events are kept.
+    A range is a chunk of the running pass, so a busy hour or account is no single task. The table
+    is stored because both passes over it must see the same ranges.
     """
     span = F.struct("cycle", "used_percent", "start_ts", "end_ts", "points")
     ends = intervals.select(
         ACCOUNT, F.col("end_ts").alias("_at"), F.lit(1).alias("_span"),
         F.col("start_ts").alias("_start"), span.alias("_here"))
     points = events.withColumnRenamed(at, "_at").withColumn("_span", F.lit(0))
-    both = ends.unionByName(points, allowMissingColumns=True).withColumn(
-        "_chunk", time_chunk(F.col("_at")))
+    both = ends.unionByName(points, allowMissingColumns=True)
+    return materialize(both.repartitionByRange(ACCOUNT, "_at").withColumn(
+        "_chunk", F.spark_partition_id()), "placed")
+
+
+def assign_events(intervals: DataFrame, events: DataFrame, at: str = "ts") -> DataFrame:
+    """Pair each event with the span (start, end] holding it; spans of an account are disjoint.
+
+    The span holding an event is the first one ending at or after it, so one pass from late to
+    early settles all events without comparing events with spans. Spans come back as rows of their
+    own with null event columns, so that spans without events are kept.
+    """
     # Of spans ending together only the earliest-starting one has room for events, so it must be
     # the last to pass.
     found = running(
-        both, [ACCOUNT], "_chunk", ["_at", "_span", "_start"],
+        place_events(intervals, events, at), [ACCOUNT], "_chunk", ["_at", "_span", "_start"],
         {"iv": Running("last", F.col("_here"))}, descending=True)
     inside = F.col("iv").isNotNull() & (F.col("_at") > F.col("iv.start_ts"))
     mine = F.when(F.col("_span") == 1, F.col("_here")).otherwise(F.col("iv"))

@@ -71,7 +71,6 @@ def dedupe_calls(tokens: DataFrame) -> DataFrame:
     )
 
 
-
 def dedupe_tool_calls(calls: DataFrame) -> DataFrame:
     """One row per tool call: by its own id, else by its number within (turn, type, name)."""
     key = F.when(
@@ -119,13 +118,17 @@ def dedupe_quota(readings: DataFrame) -> DataFrame:
 
 
 def thread_parents(edges: DataFrame, metas: DataFrame) -> DataFrame:
-    """Parent of each thread: a session record beats a spawn edge; the last one wins."""
+    """Parent of each thread: a session record beats a spawn edge; the last one wins.
+
+    Of a thread's edges, the last is that of the greatest ``position``, then of the greatest parent.
+    """
     from_edges = edges.select(
         ACCOUNT, F.col("child_thread_id").alias("thread_id"), "parent_thread_id",
         F.lit(0).alias("rank"), F.lit("").alias("file"), F.lit(0).cast("long").alias("block"),
-        F.monotonically_increasing_id().alias("ord"),
+        F.coalesce("position", F.lit(-1).cast("long")).alias("ord"),
     )
     from_metas = metas.select(
         ACCOUNT, "thread_id", "parent_thread_id", F.lit(1).alias("rank"), "file", "block", "ord")
     return from_edges.unionByName(from_metas).groupBy(ACCOUNT, "thread_id").agg(
-        F.max_by("parent_thread_id", F.struct("rank", scan_position())).alias("parent_thread_id"))
+        F.max_by("parent_thread_id", F.struct("rank", scan_position(), "parent_thread_id"))
+        .alias("parent_thread_id"))

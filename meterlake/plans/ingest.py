@@ -15,7 +15,7 @@ from meterlake.operators import context as C
 from meterlake.operators import dedupe as D
 from meterlake.sources.ledger import Ledger
 from meterlake.sources.rollouts import parse_records
-from meterlake.storage import materialize
+from meterlake.storage import Scratch, materialize
 
 
 @dataclass(frozen=True)
@@ -27,9 +27,14 @@ class Metadata:
     edges: DataFrame
 
 
-def context_records(lines: DataFrame) -> DataFrame:
-    """Log records with the context they were written under."""
-    return C.with_context(parse_records(lines))
+def context_records(lines: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Log records with the context they were written under.
+
+    Carrying context takes two passes, so parsed records are stored and each line is read and
+    parsed once. They stay in ``scratch`` until its owner clears it.
+    """
+    scratch = scratch or Scratch(lines.sparkSession, "records")
+    return C.with_context(scratch.store(parse_records(lines), "records"))
 
 
 def build_ledger(
@@ -57,7 +62,10 @@ def build_ledger(
 
 def stage(lines: DataFrame) -> DataFrame:
     """Context records stored by kind."""
-    return materialize(context_records(lines), "context", ["kind"])
+    scratch = Scratch(lines.sparkSession, "records")
+    ctx = materialize(context_records(lines, scratch), "context", ["kind"])
+    scratch.clear()
+    return ctx
 
 
 def ingest(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.numbers import safe_ts
 from meterlake.keys import ACCOUNT
 from meterlake.sources.rollouts import _account, _missing
+from meterlake.storage import delete_folder, folder_names
 
 
 class LedgerError(ValueError):
@@ -73,6 +74,18 @@ def current_version(spark: SparkSession, path: str) -> tuple[str, datetime]:
     return row["p"]["version"], row["p"]["generated_at"]
 
 
+def remove_old_versions(spark: SparkSession, path: str) -> int:
+    """Remove all versions but the current one; tells how many. Nothing may be reading or writing them."""
+    try:
+        current, _ = current_version(spark, path)
+    except LedgerError:
+        return 0
+    old = [name for name in folder_names(spark, f"{path}/versions") if name != current]
+    for name in old:
+        delete_folder(spark, f"{path}/versions/{name}")
+    return len(old)
+
+
 def read_ledger(spark: SparkSession, path: str) -> Ledger:
     """The current version of a stored ledger."""
     version, _ = current_version(spark, path)

@@ -18,7 +18,9 @@ STATE_SCHEMA = (
     "git_branch string, git_origin_url string, agent_nickname string, agent_role string, "
     "model string, reasoning_effort string, thread_source string"
 )
-EDGES_SCHEMA = f"{ACCOUNT} string, parent_thread_id string, child_thread_id string"
+#: ``position`` is the row's place in its source; of one child's edges the last one counts.
+EDGES_SCHEMA = (
+    f"{ACCOUNT} string, parent_thread_id string, child_thread_id string, position long")
 
 
 def titles_from_lines(lines: DataFrame) -> DataFrame:

@@ -29,6 +29,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path; none if it is missing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return []
+    return [s.getPath().getName() for s in store.listStatus(where) if s.isDirectory()]
+
+
 class Scratch:
     """Tables stored while one operator runs.
 

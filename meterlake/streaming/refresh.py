@@ -21,9 +21,11 @@ from meterlake.sources.ledger import (
     LedgerError,
     current_version,
     publish,
+    remove_old_versions,
     write_ledger,
 )
 from meterlake.sources.rollouts import _account, _missing, list_sources, read_rollouts
+from meterlake.storage import Scratch, delete_folder, folder_names
 
 _MANIFEST = "file string, size long, mtime timestamp, batch string"
 _STATE = ["file", "size", "mtime"]
@@ -61,8 +63,10 @@ def update_context(
         # Files older than every touched one are skipped when the folder is listed.
         lines = read_rollouts(spark, roots, account, modified_since=F.lit(oldest))
         fresh = lines.join(touched.select("file"), "file", "left_semi")
-        context_records(fresh).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy(
-            "batch", "kind").parquet(f"{store}/context")
+        scratch = Scratch(spark, "records")
+        context_records(fresh, scratch).withColumn("batch", F.lit(batch)).write.mode(
+            "append").partitionBy("batch", "kind").parquet(f"{store}/context")
+        scratch.clear()
     files = same.unionByName(touched.withColumn("batch", F.lit(batch)))
     files.write.parquet(f"{store}/files/versions/{batch}")
     publish(spark, f"{store}/files", batch, datetime.now(UTC))
@@ -115,6 +119,20 @@ def refresh(
     return True
 
 
+def clean_up(spark: SparkSession, store: str) -> int:
+    """Remove what no current version needs: old ledgers and manifests, batches without live files.
+
+    Call it when no refresh and no reader of an old version is at work. Returns how many folders went.
+    """
+    gone = remove_old_versions(spark, f"{store}/ledger") + remove_old_versions(spark, f"{store}/files")
+    # One name per refresh that still has live files.
+    live = {f"batch={row['batch']}" for row in _manifest(spark, store).select("batch").distinct().collect()}
+    dead = [n for n in folder_names(spark, f"{store}/context") if n.startswith("batch=") and n not in live]
+    for name in dead:
+        delete_folder(spark, f"{store}/context/{name}")
+    return gone + len(dead)
+
+
 def refresh_stream(
     spark: SparkSession, root: str, store: str, meta: Metadata,
     account: str | Column = "default", on_done: Callable[[bool], None] = lambda changed: None,

@@ -5,7 +5,8 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.plans.ingest import Metadata, ingest
+from meterlake.operators.dedupe import thread_parents
+from meterlake.plans.ingest import Metadata, context_records, ingest
 from meterlake.sources.ledger import (
     LedgerError,
     read_ledger,
@@ -14,7 +15,7 @@ from meterlake.sources.ledger import (
 )
 from meterlake.sources.metadata import TITLES_SCHEMA, read_titles, thread_state
 from meterlake.sources.rollouts import list_sources, read_rollouts, session_roots
-from meterlake.streaming.refresh import refresh
+from meterlake.streaming.refresh import clean_up, refresh
 
 A = "11111111-1111-4111-8111-111111111111"
 B = "22222222-2222-4222-8222-222222222222"
@@ -185,3 +186,55 @@ def test_stream_trigger_and_refresh_decision(spark, home, tmp_path):
     r = ledger_freshness(led.provenance, young).first()
     assert (r["status"], r["age_label"]) == ("fresh", "15m old")
     assert ledger_freshness(led.provenance, old).first()["age_label"] == "2h old"
+
+
+def test_long_files_are_cut_and_lines_parsed_once(spark, home):
+    more = [x.replace("2026-08-10T00", f"2026-08-1{d}T02") for d in range(1, 9) for x in original()[2:]]
+    write(home, f"rollout-{A}.jsonl", [*original(), *more])
+    columns = ["file", "kind", "model", "effort", "service_tier", "turn", "start.turn_id",
+               "counter_before", "ts", "original_likely"]
+
+    def records():
+        return context_records(read_rollouts(spark, session_roots(home))).select(*columns)
+
+    whole = records()
+    assert "Scan text" not in whole._jdf.queryExecution().toString()
+    whole = whole.collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        assert read_rollouts(spark, session_roots(home)).filter("split").select(
+            "file", "block").distinct().count() > 5
+        parts = records().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(repr, parts)) == sorted(map(repr, whole))
+
+
+def test_the_last_spawn_edge_counts(spark):
+    _, edges = thread_state(spark, spark.range(0).selectExpr("cast(id as string) id"), spark.createDataFrame(
+        [("p2", "c", 2), ("p9", "c", 1), ("p1", "d", None), ("p3", "d", None), ("p4", "e", 7)],
+        "parent_thread_id string, child_thread_id string, position long"))
+    metas = spark.createDataFrame(
+        [("default", "e", "m", "f", 0, 3)],
+        "account_id string, thread_id string, parent_thread_id string, file string, block long, ord long")
+    for rows in edges, edges.orderBy(F.desc("parent_thread_id")), edges.repartition(5):
+        got = {r["thread_id"]: r["parent_thread_id"] for r in thread_parents(rows, metas).collect()}
+        assert got == {"c": "p2", "d": "p3", "e": "m"}
+
+
+def test_clean_up_keeps_what_is_current(spark, home, tmp_path):
+    roots, store = session_roots(home), str(tmp_path / "store")
+    meta = empty_meta(spark)
+    refresh(spark, roots, store, meta)
+    for n in (1, 2):
+        write(home, f"rollout-{A}.jsonl",
+              [*original(), *[tokens(f"2026-08-10T00:00:{10 + i}Z", 300 + i, usage(5, 0, 5)) for i in range(n)]])
+        assert refresh(spark, roots, store, meta)
+    before = read_ledger(spark, f"{store}/ledger").events.count()
+    # Two old ledgers, two old manifests and the batch in between; the first batch still has a file.
+    assert clean_up(spark, store) == 5
+    assert clean_up(spark, store) == 0
+    assert read_ledger(spark, f"{store}/ledger").events.count() == before == 5
+    write(home, f"rollout-{A}.jsonl", original())
+    assert refresh(spark, roots, store, meta)
+    assert read_ledger(spark, f"{store}/ledger").events.count() == 3

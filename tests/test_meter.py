@@ -176,3 +176,32 @@ def test_equal_meters_are_settled_by_time_not_by_file(spark):
         "plan_type string, limit_name string, original_likely boolean, file string, block long, ord long, part int")))
     got = meter.select_meter(meter.weekly_observations(quota))
     assert {r["limit_key"] for r in got.collect()} == {"early"}
+
+
+def test_a_busy_hour_is_spread_and_paired_like_the_sequential_rule(spark):
+    rng = random.Random(5)
+    began = at("2026-08-10T00:00:00")
+    marks = sorted(rng.sample(range(0, 3_600_000, 1000), 40))
+    spans = [(began + timedelta(milliseconds=lo), began + timedelta(milliseconds=hi))
+             for lo, hi in zip(marks[::2], marks[1::2])]
+    intervals = spark.createDataFrame(
+        [("a", 0, 1.0 * i, lo, hi, 1.0) for i, (lo, hi) in enumerate(spans)],
+        "account_id string, cycle long, used_percent double, start_ts timestamp, "
+        "end_ts timestamp, points double")
+    times = [began + timedelta(milliseconds=rng.randrange(3_600_000)) for _ in range(4000)]
+    times += [t for pair in spans for t in pair]
+    events = spark.createDataFrame(
+        [("a", t, i) for i, t in enumerate(times)], "account_id string, ts timestamp, n long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in burning.place_events(intervals, events)
+                 .groupBy("_chunk").count().collect()]
+        got = {r["n"]: r["u"] for r in burning.assign_events(intervals, events)
+               .filter("not is_span").selectExpr("n", "iv.used_percent as u").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(sizes) < 2 * len(times) / len(sizes)
+    want = {i: float(k) for i, t in enumerate(times) for k, (lo, hi) in enumerate(spans)
+            if lo < t <= hi}
+    assert got == want
