@@ -40,6 +40,8 @@ from meterlake.llm.texts import map_texts, mix, word_hashes, words
 from meterlake.storage import Scratch
 
 PIVOT_ROUNDS = 2
+#: Parts into which the documents of a class of equal sets are dealt.
+SALTS = 1024
 #: Widest size ratio within a band, overlap included; bands up to the second size have a block per member.
 BAND_RATIO = 2.5
 SMALL = 384
@@ -213,9 +215,14 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     all_rows = scratch.store(_digests(texts, rule), "digests")
     named = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "set_a", "set_b"]
-    classes = named.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
+    # A class of equal sets may hold much of the rows, so its rows are salted by id: a class has one row
+    # per salt that occurs, and the documents meet that one.
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    whole = Window.partitionBy(*same)
+    classes = (salted.groupBy(*same, "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+               .select(*same, "salt", F.min("least").over(whole).alias("first"), F.sum("rows").over(whole).alias("size")))
     # Copies link to the first of their class and are left out of what follows.
-    copies = scratch.store(named.join(classes.filter("size > 1").drop("size"), same).filter("doc_id <> first")
+    copies = scratch.store(salted.join(classes.filter("size > 1").drop("size"), [*same, "salt"]).filter("doc_id <> first")
                            .select(F.col("first").alias("u"), F.col("doc_id").alias("v")).distinct(), "copies")
     known = copies.select(F.col("v").alias("doc_id")).distinct()
     if copies.count() <= BROADCAST_IDS:
