@@ -41,7 +41,7 @@ from meterlake.storage import Scratch
 
 PIVOT_ROUNDS = 2
 #: Parts into which the documents of a class of equal sets are dealt.
-SALTS = 1024
+SALTS = 256
 #: Widest size ratio within a band, overlap included; bands up to the second size have a block per member.
 BAND_RATIO = 2.5
 SMALL = 384
