@@ -5,8 +5,10 @@ length of a byte is that of its longest known context, or an escape plus its cod
 shorter context (escape method C, without exclusion, down to a uniform order -1). A text belongs to
 the language that codes it in the fewest bits.
 
-With frozen counts, the code lengths of all bytes after a context are a fixed row. All languages'
-trees are merged into one table of rows, so a text is scored by two array look-ups per byte.
+With frozen counts, the code length of a byte is a sum of parts: per order, the escape from its context
+and, where the context knows the byte, what it gains over that escape and the next shorter context.
+Parts that a language lacks are 0, so only counted contexts and counted bytes are kept, each with its
+languages. The distinct runs of a block of texts are looked up, then added up by text.
 """
 
 from __future__ import annotations
@@ -23,42 +25,83 @@ from meterlake.llm.texts import chunks, hash_share, map_texts, utf8
 
 UNKNOWN = "und"
 ORDER = 3
-_BITS = 7
-_SYMBOLS = 1 << _BITS
+_BITS = 8
+
+
+@dataclass(frozen=True)
+class Parts:
+    """Sparse bits of contexts or of runs: sorted `keys`, and for each from `start` on, languages and bits."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def of(code: np.ndarray, lang: np.ndarray, bits: np.ndarray) -> Parts:
+        order = np.lexsort((lang, code))
+        keys, first = np.unique(code[order], return_index=True)
+        return Parts(keys.astype(np.uint32), np.append(first, len(code)), lang[order].astype(np.int32), bits[order].astype(np.float32))
+
+    def add(self, out: np.ndarray, wanted: np.ndarray) -> None:
+        """Add the bits of each of the keys `wanted` to its row of `out`."""
+        if not len(self.keys):
+            return
+        wanted = wanted.astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        row = np.flatnonzero(self.keys[at] == wanted)
+        first, n = self.start[at[row]], self.start[at[row] + 1] - self.start[at[row]]
+        place = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        out[np.repeat(row, n), self.lang[place]] += self.bits[place]
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Frozen statistics: `symbol` maps bytes, `row` maps three symbols to a row of `bits`."""
+    """Frozen statistics: `symbol` maps bytes, `escapes` and `gains` have one entry per order.
+
+    `block_bytes` bounds the values that are worked on at once; results do not depend on it.
+    """
 
     langs: list[str]
     symbol: np.ndarray
-    row: np.ndarray
-    bits: np.ndarray
+    width: int
+    escapes: list[Parts]
+    gains: list[Parts]
+    block_bytes: int
+
+    def values(self, runs: np.ndarray) -> np.ndarray:
+        """Bits each language needs for the last symbol of each run of four."""
+        out = np.full((len(runs), len(self.langs)), np.log2(self.width))
+        for order, (escape, gain) in enumerate(zip(self.escapes, self.gains)):
+            escape.add(out, (runs >> _BITS) & ((1 << _BITS * order) - 1))
+            gain.add(out, runs & ((1 << _BITS * (order + 1)) - 1))
+        return out
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits each language needs for each text."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        some = np.flatnonzero(np.diff(offsets))
-        if len(some):
-            context, symbol = _contexts(self.symbol, data, offsets)
-            width = self.bits.shape[1]
-            costs = self.bits.reshape(-1, len(self.langs))[self.row[context].astype(np.int64) * width + symbol]
-            out[some] = np.add.reduceat(costs, offsets[:-1][some], axis=0, dtype=np.float64)
+        runs = _runs(self.symbol, data, offsets)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        step = max(self.block_bytes // (16 * max(len(self.langs), 1)), 1)
+        for lo in range(0, len(runs), step):
+            seen, at = np.unique(runs[lo: lo + step], return_inverse=True)
+            of = text[lo: lo + step]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            out[of[first]] += np.add.reduceat(self.values(seen)[at], first, axis=0)
         return out
 
 
-def _contexts(symbol: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per byte: its three predecessors as one number, and its own symbol. Texts start after zeros."""
-    s = symbol[data].astype(np.int32)
-    context = np.zeros(len(s), np.int32)
+def _runs(symbol: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per byte: its three predecessors and itself as one number. Texts start after zeros."""
+    s = symbol[data].astype(np.int64)
+    runs = s.copy()
     place = np.arange(len(s)) - np.repeat(offsets[:-1], np.diff(offsets))
     for back in range(1, ORDER + 1):
-        shifted = np.zeros(len(s), np.int32)
-        shifted[back:] = s[:-back] if back < len(s) + 1 else 0
+        shifted = np.zeros(len(s), np.int64)
+        shifted[back:] = s[:-back]
         shifted[place < back] = 0
-        context |= shifted << (_BITS * (back - 1))
-    return context, s
+        runs |= shifted << (_BITS * back)
+    return runs
 
 
 def _lower() -> np.ndarray:
@@ -68,25 +111,25 @@ def _lower() -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-          docs_per_lang: int = 4000, max_langs: int = 64, max_grams: int = 400_000,
-          table_mb: int = 32) -> LanguageModel:
+          docs_per_lang: int = 4000, table_mb: int = 32) -> LanguageModel:
     """Count context trees on labelled documents.
 
-    Bounds: about `docs_per_lang` whole documents of each of the `max_langs` most frequent languages
-    (by hash of the id), the `max_grams` most frequent contexts with their next byte, and rows of
-    `table_mb` in all. Rows with a null or empty text or language are not used.
+    The one bound is about `docs_per_lang` whole documents of each language (by hash of id and text). Every
+    language is learned, and all contexts of its sample count. `table_mb` bounds memory when scoring,
+    not the model. Rows with a null or empty text or language are not used.
     """
-    labelled = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0))
-    sizes = (labelled.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang")
-             .limit(max_langs).collect())
+    labelled = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
+        F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    sizes = labelled.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return LanguageModel([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, docs_per_lang / r["count"])))])
-    sample = labelled.filter(hash_share(F.col(doc_id), F.coalesce(share[F.col(lang)], F.lit(0.0))))
-    sample = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+        return LanguageModel([], np.zeros(256, np.uint8), 1, [], [], table_mb << 20)
+    # A row per language, so broadcast.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, docs_per_lang / r["count"])) for r in sizes], "lang string, share double")
+    sample = labelled.join(F.broadcast(shares), "lang").filter(hash_share(F.struct("id", "text"), F.col("share"))).select("lang", "text")
 
-    # The most frequent bytes get symbols of their own; the rest share symbol 0 with text starts.
+    # Every byte of the sample gets a symbol of its own; others share symbol 0 with text starts. As A-Z are
+    # folded, there are 230 at most.
     def count_bytes(batches):
         seen = np.zeros(256, np.int64)
         for batch in batches:
@@ -97,7 +140,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             .filter("n > 0").collect())
     folded = np.zeros(256, np.int64)
     np.add.at(folded, _lower()[[r["byte"] for r in rows]], [r["n"] for r in rows])
-    own = [b for b in np.argsort(-folded, kind="stable")[: _SYMBOLS - 1] if folded[b]]
+    own = np.flatnonzero(folded)
     symbol = np.zeros(256, np.uint8)
     symbol[own] = np.arange(1, len(own) + 1)
     symbol = symbol[_lower()]
@@ -109,8 +152,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             data, offsets = utf8(batch.column(1))
             who = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             for a, b in chunks(offsets):
-                context, s = _contexts(symbol, data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
-                key = np.repeat(who[a:b], np.diff(offsets[a: b + 1])) << 32 | context.astype(np.int64) << _BITS | s
+                runs = _runs(symbol, data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
+                key = np.repeat(who[a:b], np.diff(offsets[a: b + 1])) << 32 | runs
                 made = np.unique(key, return_counts=True)
                 old = totals.get(0)
                 if old is not None:
@@ -119,9 +162,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         for keys, counts in totals.values():
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
 
-    grams = (sample.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "gram").limit(max_grams).toArrow())
-    return _freeze(langs, symbol, len(own) + 1, grams["gram"].to_numpy(), grams["n"].to_numpy(), table_mb << 20)
+    grams = sample.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return _freeze(langs, symbol, len(own) + 1, grams["gram"].to_numpy(), grams["n"].to_numpy(), table_mb << 20, _BITS)
 
 
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,41 +172,30 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _freeze(langs: list[str], symbol: np.ndarray, width: int, grams: np.ndarray, counts: np.ndarray,
-            table_bytes: int) -> LanguageModel:
-    """Turn counts into rows of code lengths, from the shortest contexts to the longest."""
-    n_langs = len(langs)
-    who, code = grams >> 32, grams & 0xFFFFFFFF
-    most_rows = max(table_bytes // (width * n_langs * 4), 1)
-    row = np.zeros(1 << (_BITS * ORDER), np.int32)
-    tables = [np.full((1, width, n_langs), np.log2(width), np.float32)]  # order -1: every symbol alike
-    used = 1
+            block_bytes: int, bits: int = 7) -> LanguageModel:
+    """Turn counts into bits, from the shortest contexts to the longest.
+
+    A gram is a language's number above 32 bits, and below them four symbols of `bits` bits each.
+    """
+    who, run = grams >> 32, np.zeros(len(grams), np.int64)
+    for back in range(ORDER + 1):
+        run |= ((grams >> (bits * back)) & ((1 << bits) - 1)) << (_BITS * back)
+    escapes, gains = [], []
+    shorter, least = np.zeros(0, np.int64), np.zeros(0)
     for order in range(ORDER + 1):
-        size = _BITS * order
-        key, n = _merge(who << 32 | (code & ((1 << (size + _BITS)) - 1)), counts)
-        context, lang, sym = (key & 0xFFFFFFFF) >> _BITS, key >> 32, key & (_SYMBOLS - 1)
-        there, weight = _merge(context, n)
-        if used + len(there) > most_rows + 1:
-            there = np.sort(there[np.argsort(-weight, kind="stable")[: max(most_rows + 1 - used, 0)]])
-        if not len(there):
-            break
-        at = np.minimum(np.searchsorted(there, context), len(there) - 1)
-        keep = there[at] == context
-        at, lang, sym, n = at[keep], lang[keep], sym[keep], n[keep].astype(float)
-        total, distinct = np.zeros((len(there), n_langs)), np.zeros((len(there), n_langs))
-        np.add.at(total, (at, lang), n)
-        np.add.at(distinct, (at, lang), 1)
-        parent = np.concatenate(tables)[row[there]] if order else np.repeat(tables[0], len(there), axis=0)
-        known = total > 0
-        escape = np.zeros_like(total)
-        escape[known] = np.log2((total + distinct)[known] / distinct[known])
-        made = (parent + escape[:, None, :]).astype(np.float32)
-        made[at, sym, lang] = np.log2((total + distinct)[at, lang] / n)
-        # `row` is indexed by the three last symbols, the nearest in the lowest bits.
-        view = row.reshape(1 << (_BITS * (ORDER - order)), 1 << size)
-        view[:, there] = used + np.arange(len(there))
-        tables.append(made)
-        used += len(there)
-    return LanguageModel(langs, symbol, row, np.concatenate(tables))
+        key, n = _merge(who << 32 | run & ((1 << _BITS * (order + 1)) - 1), counts)
+        lang, code = key >> 32, key & 0xFFFFFFFF
+        there, at, distinct = np.unique(lang << 32 | code >> _BITS, return_inverse=True, return_counts=True)
+        total = np.bincount(at, n, len(there))
+        escape = np.log2((total + distinct) / distinct)
+        own = np.log2((total + distinct)[at] / n)
+        # What is known after a context is known after the next shorter one.
+        below = (least[np.searchsorted(shorter, lang << 32 | code & ((1 << _BITS * order) - 1))] if order
+                 else np.log2(width))
+        escapes.append(Parts.of(there & 0xFFFFFFFF, there >> 32, escape))
+        gains.append(Parts.of(code, lang, own - escape[at] - below))
+        shorter, least = key, own
+    return LanguageModel(langs, symbol, width, escapes, gains, block_bytes)
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:

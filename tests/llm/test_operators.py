@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -90,6 +91,53 @@ def test_language_odd_rows(odd, none):
     assert language_id.identify(none, model, ["doc_id"]).count() == 0
 
 
+def test_language_many_labels_keep_whole_trees(spark):
+    """More than 64 labels, more than 127 bytes, one label of many rows: every code length is that of the whole trees."""
+    rng = random.Random(64)
+    letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0x391, 0x3C9), *range(0x410, 0x44F), *range(0x5D0, 0x5EA), *range(0x905, 0x939), *range(0x4E00, 0x4E60))]
+    rows, texts = [], {}
+    for k in range(70):
+        own = rng.sample(letters, 30)
+        texts[f"l{k:02}"] = ["".join(rng.choice(own) for _ in range(60)) for _ in range(12 if k else 200)]
+    rows = [(i, t, x) for i, (x, t) in enumerate((x, t) for x, ts in texts.items() for t in ts)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(texts)
+    low = {x: [bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode()) for t in ts] for x, ts in texts.items()}
+    width = len({c for ts in low.values() for t in ts for c in t}) + 1
+    assert width > 128
+    counts = {}
+    for x, ts in low.items():
+        for t in ts:
+            s = [-1, -1, -1, *t]
+            for i in range(3, len(s)):
+                for order in range(4):
+                    c = counts.setdefault((x, tuple(s[i - order: i])), {})
+                    c[s[i]] = c.get(s[i], 0) + 1
+
+    def bits(x, s, i):
+        out = 0.0
+        for order in (3, 2, 1, 0):
+            seen = counts.get((x, tuple(s[i - order: i])))
+            if seen:
+                total, kinds = sum(seen.values()), len(seen)
+                if s[i] in seen:
+                    return out + np.log2((total + kinds) / seen[s[i]])
+                out += np.log2((total + kinds) / kinds)
+        return out + np.log2(width)
+
+    asked = [low["l00"][3] + low["l69"][2], low["l41"][0][:50], low["l69"][5]]
+    at = np.cumsum([0, *map(len, asked)])
+    small = dataclasses.replace(model, block_bytes=16 * 70 * 37)
+    for m in (model, small):
+        got = m.code_lengths(np.frombuffer(b"".join(asked), np.uint8), at)
+        for row, t in zip(got, asked):
+            s = [-1, -1, -1, *t]
+            assert row == pytest.approx([sum(bits(x, s, i) for i in range(3, len(s))) for x in model.langs], rel=1e-5)
+    fresh = [(x, "".join(rng.choice(t) for t in [sorted(set("".join(ts)))] * 60)) for x, ts in texts.items()]
+    out = language_id.identify(spark.createDataFrame(fresh, "lang string, text string"), model, ["lang"])
+    assert out.filter("lang = lang_pred").count() >= 66
+
+
 def test_sharding(spark, odd, none):
     table = sharding.fill_table(sharding.SHARDS)
     share = np.bincount(table)
