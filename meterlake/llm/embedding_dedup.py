@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.components import components
-from meterlake.llm.vectors import matrix, rotation, usable, with_dimension
+from meterlake.llm.vectors import dimensions, matrix, of_dimension, rotation, usable
 from meterlake.storage import Scratch
 
 FILTERS = 24
@@ -159,22 +159,29 @@ def _links(left: pd.DataFrame, right: pd.DataFrame, name: int, least: float) ->
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Vectors that are null, zero or hold null or non-finite components link with nothing, as do those
-    of another dimension than most. Rows with equal vectors are linked; repeated rows count as other
+    Vectors that are null, zero or hold null or non-finite components link with nothing; others link
+    with those of their own dimension. Rows with equal vectors are linked; repeated rows count as other
     vectors of the same id. A null id takes no part: no links, null component, kept is null.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "caps")
+    scratch = Scratch(vectors.sparkSession, "caps")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
-    named, d = with_dimension(rows.filter("vec_id IS NOT NULL"), "vector")
+    named = rows.filter("vec_id IS NOT NULL")
+    out = rows.filter(F.col("vec_id").isNull() | ~usable("vector")).select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    # An id may have vectors of several dimensions; its rows keep the links of their own.
+    for d in dimensions(named, "vector"):
+        out = out.unionByName(_linked(of_dimension(named, "vector", d), d, least, scratch))
+    return scratch.release(out.withColumn("kept", F.col("vec_id") == F.col("component_id")))
+
+
+def _linked(named: DataFrame, d: int, least: float, scratch: Scratch) -> DataFrame:
+    """(vec_id, n_links, component_id) of usable vectors of one dimension."""
+    spark = named.sparkSession
     classes = scratch.store(
         named.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "classes")
     members = scratch.store(named
                             .join(classes.select(F.col("vector").alias("same"), "first", "copies"), F.col("vector") == F.col("same"))
-                            .select("vec_id", "first", "copies"), "members") if d else None
-    if not d:
-        return scratch.release(rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-                                           F.col("vec_id").isNotNull().alias("kept")))
+                            .select("vec_id", "first", "copies"), "members")
     codes = spark.sparkContext.broadcast(fit(classes.count(), d, least))
 
     def passed(batches):
@@ -206,13 +213,6 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     found = scratch.store(paired.groupBy("filter", "lo", "hi").applyInPandas(within, "vec_id long, root long, n long"), "found")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "first")
     groups = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")), scratch).withColumnRenamed("node", "first")
-    linked = (members.join(counts, "first", "left").join(groups, "first", "left")
-              .select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                      F.coalesce("component", "first").alias("component_id")))
-    rest = rows.filter(F.col("vec_id").isNull()).union(_others(rows.filter("vec_id IS NOT NULL"), d)).select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return scratch.release(linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id")))
-
-
-def _others(rows: DataFrame, d: int) -> DataFrame:
-    return rows.filter(~(usable("vector") & F.coalesce(F.size("vector") == d, F.lit(False))))
+    return (members.join(counts, "first", "left").join(groups, "first", "left")
+            .select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                    F.coalesce("component", "first").alias("component_id")))

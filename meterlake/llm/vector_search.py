@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm.texts import hash_share
-from meterlake.llm.vectors import matrix, rotation, with_dimension
+from meterlake.llm.vectors import dimensions, matrix, of_dimension, rotation
 from meterlake.storage import Scratch
 
 SAMPLE = 16_384
@@ -137,17 +137,28 @@ def scan_block(index: ListIndex, ids: np.ndarray, rows: np.ndarray, query_ids: n
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query row, best first.
 
-    Candidates are all rows with another id; ties go to the smaller id. Vectors that are null, zero or
-    hold null or non-finite components, those of another dimension than most, and rows with a null id
-    take no part, nor do such queries. Repeated rows are candidates of their own; a repeated query row
-    counts once. With k candidates or fewer in all, each query gets them all.
+    Candidates are all rows of the query's dimension with another id; ties go to the smaller id. Vectors
+    that are null, zero or hold null or non-finite components, and rows with a null id take no part, nor
+    do such queries. Repeated rows are candidates of their own; a query row repeated in a dimension counts
+    once. An id that asks in several dimensions has its ranks from all of these. With k candidates or fewer
+    in all, each query gets them all.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "search")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("asks"))
-    rows, d = with_dimension(rows.filter("vec_id IS NOT NULL"), "vector")
-    if not d:
+    rows = rows.filter("vec_id IS NOT NULL")
+    out = None
+    for d in dimensions(rows, "vector"):
+        found = _nearest(of_dimension(rows, "vector", d), d, k, scratch)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return scratch.release(out)
+
+
+def _nearest(rows: DataFrame, d: int, k: int, scratch: Scratch) -> DataFrame:
+    """The result of `search` among usable vectors of one dimension."""
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(fit(rows, d, k))
     kind = rows.schema["vector"].dataType.simpleString()
 
@@ -184,7 +195,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                           .withColumn("lists", F.sequence(F.lit(0), F.lit(len(shared.value.centroids) - 1))), "again")
     if not again.isEmpty():
         first = first.join(again.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(best(again))
-    return scratch.release(first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _scan(placed: DataFrame, asked: DataFrame, shared, k: int) -> DataFrame:

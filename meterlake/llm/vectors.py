@@ -19,12 +19,14 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
-def with_dimension(df: DataFrame, vector: str) -> tuple[DataFrame, int]:
-    """The usable vectors of the most frequent dimension, and that dimension (0 without any)."""
-    good = df.filter(usable(vector))
-    top = good.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = top["d"] if top else 0
-    return good.filter(F.size(vector) == d), d
+def dimensions(df: DataFrame, vector: str) -> list[int]:
+    """The dimensions of the usable vectors, ascending: a row per dimension reaches the driver."""
+    return sorted(r["d"] for r in df.filter(usable(vector)).select(F.size(vector).alias("d")).distinct().collect())
+
+
+def of_dimension(df: DataFrame, vector: str, d: int) -> DataFrame:
+    """The usable vectors of one dimension."""
+    return df.filter(usable(vector) & (F.size(vector) == d))
 
 
 def rotation(d: int, seed: int) -> np.ndarray:

@@ -233,6 +233,28 @@ def test_cap_filters_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_dimensions(spark):
+    """Each dimension has links, queries and candidates of its own, also when another one is more frequent."""
+    rng = np.random.default_rng(12)
+    wide, slim = rng.standard_normal((60, 24)), rng.standard_normal((40, 8))
+    wide[50:] = wide[:10]
+    slim[30:] = slim[:10] * 2
+    rows = [(i, v.tolist()) for i, v in enumerate(wide)] + [(100 + i, v.tolist()) for i, v in enumerate(slim)] + [(500, [3.0]), (501, [0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert len(got) == len(rows) and got[500] == (0, 500) and got[501] == (0, 501)
+    vectors = {i: np.array(v) for i, v in rows if any(v)}
+    for i, v in vectors.items():
+        near = [j for j, w in vectors.items() if len(w) == len(v) and (j == i or v @ w >= 0.95 * np.linalg.norm(v) * np.linalg.norm(w))]
+        assert got[i] == (len(near) - 1, min(near))
+    found = {}
+    for r in vector_search.search(df, F.col("vec_id") % 20 == 0, 5).sort("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {q: sorted((j for j, w in vectors.items() if j != q and len(w) == len(vectors[q])), key=lambda j: (-(vectors[j] @ vectors[q]), j))[:5]
+            for q in vectors if q % 20 == 0}
+    assert found == {q: best for q, best in want.items() if best}
+
+
 def _jaccard_groups(rows, words, percent):
     sets = {}
     for i, text in rows:
