@@ -8,7 +8,8 @@ branches whose best completion stays below the height, so the code is never enum
 
 The height follows the number of vectors: a filter is passed by about `PER_FILTER` of random vectors,
 whatever the table's size. Codes with rotations of their own are added until all but `MISSED` of
-simulated random pairs at the least cosine share a filter, so recall does not depend on the size.
+simulated random pairs at the least cosine share a filter, so recall does not depend on the size. Where
+the codes allowed do not suffice (low cosines), filters are made wider, up to one that all vectors pass.
 
 Each shared filter is joined in blocks of bounded size, so a filter that many vectors pass is spread
 over many tasks. A pair is counted in the smallest filter that it shares, and only there; what leaves a
@@ -59,6 +60,11 @@ class CapCode:
             words.append((w / np.linalg.norm(w, axis=1, keepdims=True) * np.sqrt((b - a) / d)).astype(np.float32))
         return CapCode(rotation(d, seed).astype(np.float32), words, NormalDist().inv_cdf(1 - share) / np.sqrt(d))
 
+    @staticmethod
+    def whole(d: int) -> CapCode:
+        """One filter that every vector passes."""
+        return CapCode(np.eye(d, dtype=np.float32), [np.zeros((1, d), np.float32)], -1.0)
+
     @property
     def size(self) -> int:
         return int(np.prod([len(w) for w in self.words]))
@@ -82,8 +88,11 @@ class CapCode:
 
 
 def fit(n: int, d: int, least: float, seed: int = 11, most_codes: int = 64) -> list[CapCode]:
-    """Codes for n vectors of d dimensions, as many as `MISSED` asks for at cosine `least`."""
-    share = min(PER_FILTER / max(n, 1), 0.25)
+    """Codes for n vectors of d dimensions, as many as `MISSED` asks for at cosine `least`.
+
+    If `most_codes` codes miss more, their filters are passed by four times as many vectors, and so on;
+    when even a quarter of all vectors is not enough, one filter holds them all.
+    """
     random = np.random.default_rng(seed)
     a = random.standard_normal((2000, d))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -91,14 +100,23 @@ def fit(n: int, d: int, least: float, seed: int = 11, most_codes: int = 64) -> l
     side -= (side * a).sum(axis=1, keepdims=True) * a
     norm = np.linalg.norm(side, axis=1, keepdims=True)
     b = least * a + np.sqrt(1 - least**2) * np.divide(side, norm, out=np.zeros_like(side), where=norm > 1e-9)
-    missed, codes = np.ones(len(a), bool), []
-    while missed.mean() > MISSED and len(codes) < most_codes:
-        code = CapCode.draw(share, d, seed + 100 * (len(codes) + 1))
-        codes.append(code)
-        for at in range(0, len(a), 250):
-            pairs = [r * code.size + f for r, f in (code.filters(a[at: at + 250]), code.filters(b[at: at + 250]))]
-            missed[at + np.unique(np.intersect1d(*pairs) // code.size)] = False
-    return codes
+    share = min(PER_FILTER / max(n, 1), 0.25)
+    while True:
+        missed, codes = np.ones(len(a), bool), []
+        while missed.mean() > MISSED and len(codes) < most_codes:
+            code = CapCode.draw(share, d, seed + 100 * (len(codes) + 1))
+            codes.append(code)
+            for at in range(0, len(a), 250):
+                pairs = [r * code.size + f for r, f in (code.filters(a[at: at + 250]), code.filters(b[at: at + 250]))]
+                missed[at + np.unique(np.intersect1d(*pairs) // code.size)] = False
+            # Codes are independent: where even that many more of the same would miss too much, no more are drawn.
+            if len(codes) >= 4 and missed.mean() ** (most_codes / len(codes)) > MISSED:
+                break
+        if missed.mean() <= MISSED:
+            return codes
+        if share >= 0.25:
+            return [CapCode.whole(d)]
+        share = min(4 * share, 0.25)
 
 
 def all_filters(codes: list[CapCode], vectors: np.ndarray) -> list[np.ndarray]:

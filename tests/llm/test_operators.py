@@ -233,6 +233,20 @@ def test_cap_filters_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least, most_codes", [(0.95, 64), (0.5, 8), (-0.5, 4)])
+def test_cap_codes_reach_the_least_cosine(least, most_codes):
+    """Fresh pairs at the least cosine share a filter, also where the first codes allowed do not suffice."""
+    rng = np.random.default_rng(21)
+    a, side = rng.standard_normal((2, 1000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    b = least * a + np.sqrt(1 - least**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    codes = embedding_dedup.fit(20_000, 32, least, most_codes=most_codes)
+    assert len(codes) <= most_codes
+    both = zip(embedding_dedup.all_filters(codes, a), embedding_dedup.all_filters(codes, b))
+    assert np.mean([len(np.intersect1d(x, y)) == 0 for x, y in both]) <= 0.005
+
+
 def test_vectors_of_several_dimensions(spark):
     """Each dimension has links, queries and candidates of its own, also when another one is more frequent."""
     rng = np.random.default_rng(12)
