@@ -68,27 +68,38 @@ def _features(data: np.ndarray, offsets: np.ndarray):
     yield (pair >> _LEAD).astype(np.int64), of[1:][same]
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                  label: str = "quality", docs_per_label: int = 1500) -> DataFrame | None:
+    """(mark_id, text, mark, text_hash) of about `docs_per_label` different rows of each label, or none without labels.
+
+    Rows are chosen by a hash of id and text, so an id with many texts counts with as many rows; a repeated
+    row counts once. A document with both labels, a null label or a null text is not used.
+    """
+    marks = (labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("mark_id"))
+             .agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low = high AND low IN (0, 1)")
+             .select("mark_id", F.col("low").cast("int").alias("mark")))
+    if marks.isEmpty():
+        return None
+    rows = docs.select(F.col(doc_id).alias("mark_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).filter("text is not null")
+    keys = rows.select("mark_id", "text_hash").join(marks, "mark_id").distinct()
+    sizes = {r["mark"]: r["count"] for r in keys.groupBy("mark").count().collect()}
+    share = F.when(F.col("mark") == 1, min(1.0, docs_per_label / sizes.get(1, 1))).otherwise(min(1.0, docs_per_label / sizes.get(0, 1)))
+    # About twice `docs_per_label` rows of three numbers: a fixed bound, whatever the tables' size.
+    chosen = keys.filter(hash_share(F.struct("mark_id", "text_hash"), share))
+    return rows.join(F.broadcast(chosen), ["mark_id", "text_hash"]).dropDuplicates(["mark_id", "text_hash"])
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
           label: str = "quality", docs_per_label: int = 1500, width: int = 16, epochs: int = 8,
           rate: float = 0.4, seed: int = 7) -> QualityModel:
-    """Learn from about `docs_per_label` whole documents of each label, chosen by a hash of the id.
+    """Learn from about `docs_per_label` whole documents of each label, see `training_rows`.
 
-    That number is the bound of the sample, which one task learns from. A document with both labels, a
-    null label or a null text is not used. With only one label present, or none, the model knows only
-    the labels' share.
+    That number is the bound of the sample, which one task learns from. With only one label present, or
+    none, the model knows only the labels' share.
     """
-    marks = (labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("mark_id"))
-             .agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low = high")
-             .select("mark_id", F.col("low").cast("int").alias("mark")))
-    sizes = {r["mark"]: r["count"] for r in marks.groupBy("mark").count().collect() if r["mark"] in (0, 1)}
-    if not sizes:
+    chosen = training_rows(docs, labels, text, doc_id, label, docs_per_label)
+    if chosen is None:
         return QualityModel(np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
-    share = {k: min(1.0, docs_per_label / v) for k, v in sizes.items()}
-    marks = marks.filter(hash_share(F.col("mark_id"), F.when(F.col("mark") == 1, share.get(1, 0.0))
-                                    .when(F.col("mark") == 0, share.get(0, 0.0)).otherwise(0.0)))
-    # About twice `docs_per_label` rows of two numbers: a fixed bound, whatever the tables' size.
-    chosen = docs.select(F.col(doc_id).alias("mark_id"), F.col(text).alias("text")).filter("text is not null").join(
-        F.broadcast(marks), "mark_id")
 
     def gather(batches):
         for batch in batches:
@@ -101,22 +112,23 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 ids.append(unique.astype(np.int32))
                 shares.append((n / max(n.sum(), 1)).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())),
-                 pa.array(shares, pa.list_(pa.float32()))], ["mark_id", "mark", "ids", "shares"])
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(ids, pa.list_(pa.int32())),
+                 pa.array(shares, pa.list_(pa.float32()))], ["mark_id", "mark", "text_hash", "ids", "shares"])
 
-    features = (chosen.select("mark_id", "text", "mark")
-                .mapInArrow(gather, chosen.select("mark_id", "mark").schema.simpleString()[7:-1].replace(":", " ")
+    features = (chosen.select("mark_id", "text", "mark", "text_hash")
+                .mapInArrow(gather, chosen.select("mark_id", "mark", "text_hash").schema.simpleString()[7:-1].replace(":", " ")
                             + ", ids array<int>, shares array<float>"))
 
     def learn(batches):
         rows = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        ids, shares, marks, keys = [], [], [], []
+        ids, shares, marks, keys, ties = [], [], [], [], []
         for part in rows:
             marks.append(part["mark"].to_numpy())
             keys.append(part["mark_id"].to_numpy())
+            ties.append(part["text_hash"].to_numpy())
             ids += [x.values.to_numpy() for x in part["ids"]]
             shares += [x.values.to_numpy() for x in part["shares"]]
-        order = np.lexsort(([len(x) for x in ids], np.concatenate(keys))) if ids else np.zeros(0, np.int64)
+        order = np.lexsort((np.concatenate(ties), np.concatenate(keys))) if ids else np.zeros(0, np.int64)
         mark = np.concatenate(marks)[order] if ids else np.zeros(0, np.int64)
         model = _descend([ids[i] for i in order], [shares[i] for i in order], mark, width, epochs, rate, seed)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])

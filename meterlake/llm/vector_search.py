@@ -84,10 +84,12 @@ def _centroids(points: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit(rows: DataFrame, d: int, k: int, seed: int = 3) -> ListIndex:
-    """Fit on about `SAMPLE` rows by hash of the id (the bound of what reaches the driver)."""
-    n, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))).first()
-    got = rows.filter(hash_share(F.col("vec_id"), min(1.0, SAMPLE / max(n, 1)))).select("vec_id", "vector").toPandas()
-    got = got.sort_values("vec_id", kind="stable")
+    """Fit on about `SAMPLE` different rows by hash of id and vector (the bound of what reaches the driver)."""
+    n, longest, different = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))),
+                                     F.count_distinct(F.xxhash64("vec_id", "vector"))).first()
+    chosen = rows.filter(hash_share(F.struct("vec_id", "vector"), min(1.0, SAMPLE / max(different, 1))))
+    got = chosen.select("vec_id", "vector", F.xxhash64("vector").alias("tie")).dropDuplicates(["vec_id", "tie"]).toPandas()
+    got = got.sort_values(["vec_id", "tie"], kind="stable")
     ids, sample = got["vec_id"].to_numpy(np.int64), matrix(got["vector"]).reshape(len(got), d)
     bare = ListIndex(longest or 0.0, rotation(d + 1, seed), np.zeros((1, d + 1)), 1, ids, sample, np.zeros(len(ids), np.int64))
     points = bare.lift(sample)

@@ -359,6 +359,22 @@ def test_search_against_brute_force(spark):
     assert vector_search.search(df.limit(0), F.lit(True), 20).count() == 0
 
 
+def test_samples_are_bounded_in_rows(spark, monkeypatch):
+    """An id that repeats in many rows cannot fill a sample; a repeated row counts once."""
+    ids = "CASE WHEN id < 3000 THEN 7 ELSE id END"
+    docs = spark.range(4000).selectExpr(f"{ids} AS doc_id", "concat('text ', CASE WHEN id < 1000 THEN 0 ELSE id END) AS text")
+    labels = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id = 7 OR id % 2 = 0 THEN 1 ELSE 0 END AS quality")
+    for size in (50, 10_000):
+        rows = quality.training_rows(docs, labels, docs_per_label=size)
+        assert rows.count() == rows.select("mark_id", "text").distinct().count()
+        n = {r["mark"]: r["count"] for r in rows.groupBy("mark").count().collect()}
+        assert n == {1: 2501, 0: 500} if size == 10_000 else all(20 <= n[k] <= 100 for k in (0, 1))
+    monkeypatch.setattr(vector_search, "SAMPLE", 100)
+    for spread in ("id", "0"):
+        vectors = spark.range(4000).selectExpr(f"{ids} AS vec_id", f"array(1D, IF(id < 3000, {spread}, id) / 4000D) AS vector")
+        assert 50 <= len(vector_search.fit(vectors, 2, 5).sample) <= 200
+
+
 def _base_spans(text):
     """The three base kinds as they are stated, without any short cut."""
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
