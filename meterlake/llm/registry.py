@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import embedding_dedup, language_id, mixing, ngram_jaccard, quality, secret_scan, sentencepiece_fst, sharding, vector_search, warc
+from meterlake.llm import (embedding_dedup, language_id, mixing, ngram_jaccard, periodic_runs, quality, secret_scan, sentencepiece_fst, sharding,
+                           vector_search, warc)
 from meterlake.llm.texts import held_out
 from meterlake.storage import Scratch
 
 
+#: Words are anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,15 +68,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in the texts that the contract names, words from the a-th on repeat with period p."""
+    hashed = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    words = hashed.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    placed = words.withColumn("a", F.expr("(h div 10) % size(w)")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + (h div 10) % 8)"))
+    repeated = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)])), ' ')")
+    return placed.select("doc_id", F.when(F.size("w") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_repeats(_table(spark, sf_dir, "documents")), ["doc_id"])
+    # Runs come by start, then period, so a later run must have a strictly greater length / period.
+    top = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return (found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id, "op2_sharding": op2_sharding, "op3_warc": op3_warc,
     "op4_sentencepiece": op4_sentencepiece, "op5_embedding_dedup": op5_embedding_dedup, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality": op7_quality,
     "op8_vector_search": op8_vector_search,
-    "op9_secrets": op9_secrets, "op10_mixing": op10_mixing,
+    "op9_secrets": op9_secrets, "op10_mixing": op10_mixing, "op11_periodic_runs": op11_periodic_runs,
 }
 
 _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 _SIZE, _N = sharding.TABLE_SIZE, len(sharding.SHARDS)
+#: CRC-32 of a list of byte values: the table of the reflected polynomial, then a step per byte.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)
+                       ORDER BY i) AS steps FROM range(256) r(i))"""
+_CRC = "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {}), lambda c, b: xor(steps[xor(c & 255, b) + 1], c >> 8)))"
+_BYTES = "list_transform(range(strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)"
 
 ORACLES: dict[str, str] = {
     "op2_sharding": f"""
@@ -147,4 +178,25 @@ r AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
 SELECT doc_id, size, b.source_size, target, epochs, rest, epochs * size + rest AS taken FROM (
   SELECT r.doc_id, r.size, b.*, greatest(0, least(r.size, words - epochs * source_size - r.before)) AS rest
   FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source) b""",
+    "op11_periodic_runs": rf"""
+WITH {_CRC_TABLE}, d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         {_CRC.format(_BYTES.format("coalesce(doc_id::VARCHAR, '')"))} AS h FROM documents, crc
+), a AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS (SELECT id, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1])
+                            ELSE w END AS w FROM p),
+words AS (SELECT id, n, unnest(w) AS word, unnest(range(n)) AS i FROM t),
+same AS (SELECT x.id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.id = y.id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT id, q, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island, i FROM same),
+stretches AS (SELECT id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT id, start, length, min(q) AS period FROM stretches GROUP BY id, start, length),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM runs),
+r AS (SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+             min(start) FILTER (place = 1) AS start, min(length) FILTER (place = 1) AS length, min(period) FILTER (place = 1) AS period FROM ranked GROUP BY id),
+gone AS (SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT w.id, string_agg(word, ' ' ORDER BY w.i) AS collapsed FROM words w ANTI JOIN gone g ON w.id = g.id AND w.i = g.i GROUP BY w.id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM t LEFT JOIN r USING (id) LEFT JOIN kept USING (id)""",
 }
