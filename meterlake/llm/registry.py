@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import (embedding_dedup, language_id, mixing, ngram_jaccard, periodic_runs, quality, secret_scan, sentencepiece_fst, sharding,
-                           vector_search, warc)
+from meterlake.llm import (embedding_dedup, language_id, line_dedup, mixing, ngram_jaccard, periodic_runs, quality, secret_scan, sentencepiece_fst, sharding,
+                           spelling_variants, vector_search, warc)
 from meterlake.llm.texts import held_out
 from meterlake.storage import Scratch
 
@@ -89,11 +89,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256")))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"), typos_one_in=97)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "lines")
+    kept = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), ["doc_id"], scratch)
+    return scratch.release(kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id, "op2_sharding": op2_sharding, "op3_warc": op3_warc,
     "op4_sentencepiece": op4_sentencepiece, "op5_embedding_dedup": op5_embedding_dedup, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_quality": op7_quality,
     "op8_vector_search": op8_vector_search,
     "op9_secrets": op9_secrets, "op10_mixing": op10_mixing, "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants, "op13_line_dedup": op13_line_dedup,
 }
 
 _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
@@ -199,4 +210,38 @@ kept AS (SELECT w.id, string_agg(word, ' ' ORDER BY w.i) AS collapsed FROM words
 SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli,
        sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM t LEFT JOIN r USING (id) LEFT JOIN kept USING (id)""",
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE}, tokens AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), counted AS (SELECT doc, run, count(*) AS n FROM tokens GROUP BY doc, run),
+hashed AS (SELECT run, n, {_CRC.format(_BYTES.format("doc || ':' || run"))} AS h FROM counted, crc),
+typed AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+-- Words that differ by one edit share the word less one letter at the same place, or one is the other less a letter.
+less AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT v.word, l.word FROM v JOIN less l ON v.word = l.rest
+  UNION SELECT l.word, v.word FROM v JOIN less l ON v.word = l.rest
+), best AS (
+  SELECT p.word, count(*) AS n_near, max(v.n) AS top, first(p.near ORDER BY v.n DESC, encode(p.near)) AS near
+  FROM pairs p JOIN v ON v.word = p.near GROUP BY p.word
+), forms AS (
+  SELECT v.word, v.n, CASE WHEN top >= 2 * v.n THEN near END AS form, CASE WHEN top >= 2 * v.n THEN top END AS form_n, coalesce(n_near, 0) AS n_near
+  FROM v LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, coalesce(form, word) AS at FROM forms
+  UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL AND w.at <> w.word
+), ends AS (SELECT w.word, w.at AS root FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NULL)
+SELECT f.word, n, form, root, n_near, form_n FROM forms f JOIN ends USING (word)""",
+    "op13_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT id, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.holder AS gone FROM k LEFT JOIN common c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY id, doc_id""",
 }
