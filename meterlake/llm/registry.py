@@ -72,7 +72,7 @@ def planted_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in the texts that the contract names, words from the a-th on repeat with period p."""
     hashed = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
     words = hashed.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
-    placed = words.withColumn("a", F.expr("(h div 10) % size(w)")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + (h div 10) % 8)"))
+    placed = words.withColumn("a", F.expr("(h div 10) % nullif(size(w), 0)")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + (h div 10) % 8)"))
     repeated = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)])), ' ')")
     return placed.select("doc_id", F.when(F.size("w") > 0, repeated).otherwise(F.col("text")).alias("text"))
 
