@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import sample as S
@@ -410,6 +410,34 @@ def _(spark, d):
         _ms("last_ts", "last_ms"))
 
 
+@_q("chained_windows", f"""WITH RECURSIVE {S.SQL_EVENTS},
+o AS (
+  SELECT account_id, event_id, resets_at,
+         row_number() OVER (PARTITION BY account_id ORDER BY ms, resets_at, event_id) AS i
+  FROM (SELECT 'a' || (user_id % 3) AS account_id, event_id, epoch_ms(ts) AS ms,
+               1705000000 + ((CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) // 3600) * 20
+                 + (event_id * 7919) % 1301 AS resets_at
+        FROM raw WHERE event_type = 'view')),
+walk AS (
+  SELECT account_id, 0::BIGINT AS i, 0::BIGINT AS event_id, []::BIGINT[] AS opened,
+         []::BIGINT[] AS firsts, 0::BIGINT AS first_event_id FROM o WHERE o.i = 1
+  UNION ALL
+  SELECT account_id, i, event_id,
+         CASE WHEN hit IS NULL THEN list_append(opened, resets_at)
+              ELSE list_transform(opened, lambda v, k: CASE WHEN k = hit THEN greatest(v, resets_at) ELSE v END) END,
+         CASE WHEN hit IS NULL THEN list_append(firsts, event_id) ELSE firsts END,
+         CASE WHEN hit IS NULL THEN event_id ELSE firsts[hit] END
+  FROM (SELECT w.account_id, o.i, o.event_id, o.resets_at, opened, firsts,
+               nullif(list_position(list_transform(opened, lambda v: abs(v - o.resets_at) <= 300), true), 0) AS hit
+        FROM walk w JOIN o ON o.account_id = w.account_id AND o.i = w.i + 1))
+SELECT account_id, event_id, first_event_id FROM walk WHERE i > 0""")
+def _(spark, d):
+    """Windows of chained reset times; small chunks, so that they are worked on in many tasks."""
+    placed = meter.assign_epochs(S.drifting_quota(spark, d), chunk_rows=300)
+    first = F.min_by("seen.ord", F.struct(*meter.ORDER)).over(Window.partitionBy("account_id", "cluster", "part"))
+    return placed.select("account_id", F.col("seen.ord").alias("event_id"), first.alias("first_event_id"))
+
+
 _RESETS = f"""rs AS (
   SELECT account_id, cycle, cycle_ms, ms AS observed_ms, kind FROM tl
   WHERE reset AND ms < {TREND.end_ms} AND cycle_ms >= {TREND.start_ms}

@@ -101,6 +101,19 @@ def quota_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("timestamp").alias("event_cutoff_at"), _seen())
 
 
+def drifting_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings whose reset times drift and jitter, so that those of an account hang together."""
+    a = activity(spark, sf_dir).filter("event_type = 'view'")
+    hours = F.expr("(unix_seconds(ts) - 1704067200) div 3600")
+    resets = F.lit(1_705_000_000) + hours * 20 + (F.col("event_id") * 7919) % 1_301
+    return a.select(
+        _account(), "ts", (F.col("k") % 100).cast("double").alias("used_percent"),
+        F.lit(10_080).alias("window_minutes"), resets.cast("long").alias("resets_at"),
+        F.lit("main").alias("limit_key"), F.lit(None).cast("string").alias("limit_name"),
+        F.lit(None).cast("string").alias("scope"),
+        F.lit(None).cast("timestamp").alias("event_cutoff_at"), _seen())
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log file per user, and for each tenth user a fork holding half of its lines an hour on.
 

@@ -6,16 +6,14 @@ scope, event_cutoff_at and ``seen``, their place in the source (any orderable st
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.numbers import clamp_percent
 from meterlake.keys import ACCOUNT, RESET_JITTER_SECONDS, WEEK_MINUTES
+from meterlake.operators.first_fit import CHUNK_ROWS, first_fit_windows
 from meterlake.operators.scan import Running, running, time_chunk
-from meterlake.storage import materialize
+from meterlake.storage import Scratch, materialize
 
 ORDER = ["ts", "resets_at", "seen"]
 _WEEK_MS = WEEK_MINUTES * 60_000
@@ -60,38 +58,14 @@ def select_meter(weekly: DataFrame) -> DataFrame:
     return weekly.join(best, ACCOUNT).filter(keep).select(*weekly.columns)
 
 
-def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sequential window matching over rows sorted by (account, cluster, order).
-
-    Keeps only the open windows of the current cluster between batches.
-    """
-    group, opened = None, []
-    for batch in batches:
-        labels = []
-        for account, cluster, reset in zip(
-            batch["account_id"], batch["cluster"], batch["resets_at"], strict=True
-        ):
-            if (account, cluster) != group:
-                group, opened = (account, cluster), []
-            for i, latest in enumerate(opened):
-                if abs(latest - reset) <= RESET_JITTER_SECONDS:
-                    opened[i] = max(latest, reset)
-                    break
-            else:
-                i = len(opened)
-                opened.append(reset)
-            labels.append(i)
-        yield batch.assign(part=labels)
-
-
-def assign_epochs(obs: DataFrame) -> DataFrame:
+def assign_epochs(obs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Tell quota windows apart by their reset time.
 
     A reading joins the first window within five minutes of its latest reset time, else opens one.
     Reset times more than five minutes from any other can never share a window, so gaps in the
     sorted distinct values split the work exactly; a gap-free cluster no wider than five minutes is
-    one window. Only wider clusters need the sequential rule, on rows whose reset time differs from
-    the reading before (a repeat always lands in the same window).
+    one window. Only wider clusters need the sequential rule, which is spread over chunks of
+    ``chunk_rows`` readings (see ``first_fit``).
     """
     # Reset times are whole seconds, so even a busy account has few distinct ones.
     by_reset = Window.partitionBy(ACCOUNT).orderBy("resets_at")
@@ -112,34 +86,10 @@ def assign_epochs(obs: DataFrame) -> DataFrame:
     narrow = placed.filter(~F.col("wide")).withColumn("part", F.lit(0))
     if named.filter("wide").isEmpty():
         return narrow.drop("wide")
-    wide = materialize(placed.filter("wide"), "wide")
-    return narrow.unionByName(_split_wide(wide)).drop("wide")
-
-
-def _split_wide(wide: DataFrame) -> DataFrame:
-    chunked = wide.withColumn("_chunk", time_chunk(F.col("ts"), 86_400))
-    keys = [ACCOUNT, "cluster"]
-    reading = F.concat_ws(
-        "|", F.unix_micros("ts").cast("string"), F.col("resets_at").cast("string"),
-        F.to_json(F.struct("seen")))
-    turns = running(
-        chunked, keys, "_chunk", ORDER,
-        {"reset_before": Running("last", F.col("resets_at"), before=True)},
-    ).withColumn("starts", F.when(
-        F.col("reset_before").isNull() | (F.col("reset_before") != F.col("resets_at")), reading))
-    turns = materialize(turns, "turns")
-    runs = (
-        turns.filter(F.col("starts").isNotNull())
-        .select(ACCOUNT, "cluster", "resets_at", F.col("starts").alias("run"), "ts", "seen")
-        .repartition(ACCOUNT, "cluster")
-        .sortWithinPartitions(ACCOUNT, "cluster", *ORDER)
-        .select(ACCOUNT, "cluster", "resets_at", "run")
-        .mapInPandas(
-            _first_fit, f"{ACCOUNT} string, cluster long, resets_at long, run string, part int")
-        .select(ACCOUNT, "cluster", "run", "part")
-    )
-    marked = running(turns, keys, "_chunk", ORDER, {"run": Running("last", F.col("starts"))})
-    return marked.join(runs, [ACCOUNT, "cluster", "run"]).select(*wide.columns, "part")
+    wide = first_fit_windows(
+        placed.filter("wide"), [ACCOUNT, "cluster"], "resets_at", ORDER, RESET_JITTER_SECONDS,
+        Scratch(obs.sparkSession, "windows"), chunk_rows)
+    return narrow.unionByName(wide).drop("wide")
 
 
 def epoch_table(placed: DataFrame) -> DataFrame:
