@@ -138,17 +138,18 @@ def event_order() -> Column:
     return F.struct("ts", "seen")
 
 
-def _call_group(turn: Column, thread: Column) -> Column:
+def call_group(turn: Column, thread: Column) -> Column:
+    """What a tool call is counted with: its turn, else its thread."""
     return F.coalesce(F.nullif(turn, F.lit("")), F.concat(F.lit("thread:"), thread))
 
 
 def attach_tool_calls(events: DataFrame, tool_calls: DataFrame) -> DataFrame:
     """Put a turn's tool-call count on its last event; calls without an event are lost."""
-    group = _call_group(F.col("turn_id"), F.col("thread_id"))
+    group = call_group(F.col("turn_id"), F.col("thread_id"))
     last = events.groupBy(ACCOUNT, group.alias("call_group")).agg(
         F.max_by("id", event_order()).alias("id"))
     counts = tool_calls.groupBy(
-        ACCOUNT, _call_group(F.col("turn"), F.col("thread_id")).alias("call_group")
+        ACCOUNT, call_group(F.col("turn"), F.col("thread_id")).alias("call_group")
     ).agg(F.count(F.lit(1)).alias("n"))
     on_event = last.join(counts, [ACCOUNT, "call_group"]).select(ACCOUNT, "id", "n")
     return events.join(on_event, [ACCOUNT, "id"], "left").withColumn(
@@ -289,6 +290,6 @@ def provenance(spark: SparkSession, generated_at: datetime) -> DataFrame:
 
 
 __all__ = [
-    "attach_tool_calls", "attribute", "coverage", "event_order", "price_events",
+    "attach_tool_calls", "attribute", "call_group", "coverage", "event_order", "price_events",
     "provenance", "rollup_threads", "since", "thread_facts", "window_complete",
 ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.numbers import epoch_ms, epoch_to_ts, hash_id, safe_ts
 from meterlake.keys import ACCOUNT, ORIGINAL_MAX_DELTA_MS
-from meterlake.operators.scan import Running, running
+from meterlake.operators.scan import Running, closing, running
 from meterlake.sources.rollouts import thread_id_of_file
 
 POSITION = ["block", "ord"]
@@ -18,12 +18,8 @@ def _position() -> Column:
     return F.struct(*POSITION)
 
 
-def with_context(records: DataFrame) -> DataFrame:
-    """Carry model, effort, cwd, repository, source, tier and turn forward within each file.
-
-    Values not yet set are null; thread state fills them in later (a carried value always wins over
-    state, so filling late gives the same result and keeps the records independent of state).
-    """
+def _prepared(records: DataFrame) -> DataFrame:
+    """Records with what each of them sets."""
     kind = F.col("kind")
     own_meta = (kind == "meta") & (F.col("meta.id") == thread_id_of_file(F.col("file")))
     is_start = kind == "start"
@@ -31,7 +27,7 @@ def with_context(records: DataFrame) -> DataFrame:
     delta = F.when(
         outer.isNotNull(), F.abs(F.unix_millis(outer) - epoch_ms(F.col("started_at")))
     ).otherwise(F.lit(_NEVER))
-    prepared = records.select(
+    return records.select(
         "*",
         F.when(own_meta, F.col("meta.git")).alias("set_git"),
         F.when(own_meta, F.col("meta.source")).alias("set_source"),
@@ -45,25 +41,45 @@ def with_context(records: DataFrame) -> DataFrame:
         F.when(F.col("turn_id").isNotNull(), _position()).alias("turn_position"),
         F.when(F.col("usage.last.t") > 0, F.col("usage.total.t")).alias("counter"),
     )
+
+
+def _values() -> dict[str, Running]:
+    """Everything that a record inherits from those before it in its file."""
+    return {
+        "model": Running("last", F.col("set_model")),
+        "effort": Running("last", F.col("set_effort")),
+        "cwd": Running("last", F.col("own_cwd")),
+        "git": Running("last", F.col("set_git")),
+        "raw_source": Running("last", F.col("set_source")),
+        # A struct, so that a settings record without a tier overwrites with null.
+        "tier_cell": Running("last", F.col("set_tier")),
+        "turn": Running("last", F.col("turn_id")),
+        "start": Running("last", F.col("start_here")),
+        "first_turn": Running("min", F.col("turn_position")),
+        "counter_before": Running("last", F.col("counter"), before=True),
+    }
+
+
+def file_state(records: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """What each file's records leave to those that are appended later; one row per file."""
+    return closing(_prepared(records), [ACCOUNT, "file"], POSITION, _values(), before)
+
+
+def with_context(records: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Carry model, effort, cwd, repository, source, tier and turn forward within each file.
+
+    Values not yet set are null; thread state fills them in later (a carried value always wins over
+    state, so filling late gives the same result and keeps the records independent of state). For
+    the tails of files, ``before`` is the ``file_state`` of what was read earlier.
+    """
     carried = running(
-        prepared,
+        _prepared(records),
         keys=[ACCOUNT, "file"],
         chunk="block",
         order=["ord"],
-        values={
-            "model": Running("last", F.col("set_model")),
-            "effort": Running("last", F.col("set_effort")),
-            "cwd": Running("last", F.col("own_cwd")),
-            "git": Running("last", F.col("set_git")),
-            "raw_source": Running("last", F.col("set_source")),
-            # A struct, so that a settings record without a tier overwrites with null.
-            "tier_cell": Running("last", F.col("set_tier")),
-            "turn": Running("last", F.col("turn_id")),
-            "start": Running("last", F.col("start_here")),
-            "first_turn": Running("min", F.col("turn_position")),
-            "counter_before": Running("last", F.col("counter"), before=True),
-        },
+        values=_values(),
         carried_rows=F.col("split"),
+        initial=before,
     )
     # A task start counts only once the file has named a turn; starts before that are unusable,
     # and as turns are never unset, the latest start is usable or none is.
@@ -83,8 +99,9 @@ def with_context(records: DataFrame) -> DataFrame:
     )
 
 
-def turn_candidates(ctx: DataFrame) -> DataFrame:
-    """One row per usable task start, with the context its turn ended up with in the file."""
+def turn_parts(ctx: DataFrame) -> DataFrame:
+    """What records tell of each usable task start: `s` from the start itself, `c` from its turn's
+    latest record, at `c_at`. Parts of one start, from several reads of a file, add up."""
     rows = ctx.filter(
         F.col("start").isNotNull()
         & ((F.col("kind") == "start")
@@ -99,11 +116,28 @@ def turn_candidates(ctx: DataFrame) -> DataFrame:
         rows.groupBy(
             ACCOUNT, "file", F.col("start.block").alias("block"), F.col("start.ord").alias("ord")
         )
-        .agg(F.max(captured).alias("s"), F.max_by(settled, _position()).alias("c"))
-        .select(ACCOUNT, "file", *POSITION, "s.*", "c.*")
+        .agg(F.max(captured).alias("s"), F.max_by(settled, _position()).alias("c"),
+             F.max(_position()).alias("c_at"), F.max("turn").alias("own_turn"))
     )
 
 
+def merge_turn_parts(parts: DataFrame) -> DataFrame:
+    """One row per task start from several parts of it."""
+    return parts.groupBy(ACCOUNT, "file", *POSITION).agg(
+        F.max("s").alias("s"), F.max_by("c", "c_at").alias("c"), F.max("c_at").alias("c_at"),
+        F.max("own_turn").alias("own_turn"))
+
+
+def settled_turns(parts: DataFrame) -> DataFrame:
+    """Turn candidates from merged parts."""
+    return parts.select(ACCOUNT, "file", *POSITION, "s.*", "c.*")
+
+
+def turn_candidates(ctx: DataFrame) -> DataFrame:
+    """One row per usable task start, with the context its turn ended up with in the file."""
+    return settled_turns(turn_parts(ctx))
+
+
 def token_records(ctx: DataFrame) -> DataFrame:
     """Model calls: token counts whose last call used tokens."""
     u = F.col("usage")
@@ -117,8 +151,14 @@ def token_records(ctx: DataFrame) -> DataFrame:
     )
 
 
-def call_records(ctx: DataFrame) -> DataFrame:
-    """Tool calls, numbered within (file, turn, type, name)."""
+CALL_SERIES = [ACCOUNT, "file", "turn", "type", "name"]
+
+
+def call_records(ctx: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Tool calls, numbered within (file, turn, type, name).
+
+    ``before`` has each series' ``ordinal`` so far, for the tails of files.
+    """
     calls = ctx.filter(F.col("kind") == "call").select(
         ACCOUNT, "file", *POSITION, F.coalesce("turn", F.lit("")).alias("turn"),
         "original_likely", F.col("file_thread").alias("thread_id"),
@@ -127,10 +167,11 @@ def call_records(ctx: DataFrame) -> DataFrame:
     )
     return running(
         calls,
-        keys=[ACCOUNT, "file", "turn", "type", "name"],
+        keys=CALL_SERIES,
         chunk="block",
         order=["ord"],
-        values={"ordinal": Running("sum", F.lit(1))},
+        values={"ordinal": Running("sum", F.lit(1).cast("long"))},
+        initial=before,
     )
 
 

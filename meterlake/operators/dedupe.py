@@ -46,6 +46,10 @@ def call_key() -> Column:
     )
 
 
+def call_id(key: Column) -> Column:
+    return F.concat(F.lit("evt-"), hash_id(key))
+
+
 def dedupe_calls(tokens: DataFrame) -> DataFrame:
     """One row per model call. The first likely original wins, else the first copy.
 
@@ -64,20 +68,24 @@ def dedupe_calls(tokens: DataFrame) -> DataFrame:
         )
         .select(
             ACCOUNT, "turn", "key", "o.*", "seen", "copies",
-            F.concat(F.lit("evt-"), hash_id(F.col("key"))).alias("id"),
+            call_id(F.col("key")).alias("id"),
             F.when(F.col("turn").isNotNull(), "turn-exact").otherwise("legacy-heuristic")
             .alias("dedupe_quality"),
         )
     )
 
 
-def dedupe_tool_calls(calls: DataFrame) -> DataFrame:
-    """One row per tool call: by its own id, else by its number within (turn, type, name)."""
-    key = F.when(
+def tool_key() -> Column:
+    """A tool call's own id, else its number within (turn, type, name)."""
+    return F.when(
         F.col("stable_id").isNotNull(), F.concat(F.lit("id|"), F.col("stable_id"))
     ).otherwise(F.concat_ws("|", F.lit("ordinal"), "turn", "type", "name", "ordinal"))
+
+
+def dedupe_tool_calls(calls: DataFrame) -> DataFrame:
+    """One row per tool call."""
     return (
-        calls.withColumn("key", key)
+        calls.withColumn("key", tool_key())
         .groupBy(ACCOUNT, "key")
         .agg(F.min_by(F.struct("turn", "thread_id", "original_likely", "type", "name"),
                       F.struct(~F.col("original_likely"), scan_position())).alias("o"))

@@ -49,11 +49,13 @@ def running(
     values: dict[str, Running],
     descending: bool = False,
     carried_rows: Column | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Add running values along ``order`` within ``keys``.
 
     ``chunk`` must follow the order (never decrease along it). ``carried_rows`` may name the rows
     that can matter to a later chunk, so the summary pass can skip groups known to be one chunk.
+    ``initial`` has, per key, what rows before the given ones left behind (see ``closing``).
     """
     along = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     in_chunk = Window.partitionBy(*keys, chunk).orderBy(*along)
@@ -88,13 +90,36 @@ def running(
         *[_fold(v.kind, F.col(f"_t_{n}")).over(across).alias(f"_c_{n}") for n, v in values.items()],
     )
     joined = local.join(carried, [*keys, chunk], "left")
-    return joined.select(
-        *df.columns,
-        *[
-            _merge(v.kind, F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n)
-            for n, v in values.items()
-        ],
-    )
+    merged = {n: _merge(v.kind, F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, v in values.items()}
+    if initial is not None:
+        joined = joined.join(_named(initial, keys, values, "_i_"), keys, "left")
+        merged = {n: _merge(v.kind, merged[n], F.col(f"_i_{n}")) for n, v in values.items()}
+    return joined.select(*df.columns, *[c.alias(n) for n, c in merged.items()])
+
+
+def _named(df: DataFrame, keys: list[str], values: dict[str, Running], prefix: str) -> DataFrame:
+    return df.select(*keys, *[F.col(n).alias(prefix + n) for n in values])
+
+
+def closing(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Running],
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """What the rows of each group leave behind: the running values after the last of them.
+
+    ``order`` must include the chunk, and ``initial`` is as in ``running``; its groups without rows
+    come back unchanged.
+    """
+    position = F.struct(*order)
+    ends = df.groupBy(*keys).agg(*[
+        (F.max_by(v.expr, F.when(v.expr.isNotNull(), position)) if v.kind == "last"
+         else _fold(v.kind, v.expr)).alias(n) for n, v in values.items()])
+    if initial is None:
+        return ends
+    both = _named(ends, keys, values, "_e_").join(
+        _named(initial, keys, values, "_i_"), keys, "full_outer")
+    return both.select(*keys, *[
+        _merge(v.kind, F.col(f"_e_{n}"), F.col(f"_i_{n}")).alias(n) for n, v in values.items()])
 
 
 def time_chunk(ts: Column, seconds: int = 3600) -> Column:

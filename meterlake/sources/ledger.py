@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.numbers import safe_ts
 from meterlake.keys import ACCOUNT
 from meterlake.sources.rollouts import _account, _missing
-from meterlake.storage import delete_folder, folder_names
+from meterlake.storage import create_small, delete_folder, file_names, folder_names, read_small
 
 
 class LedgerError(ValueError):
@@ -42,12 +43,44 @@ def write_table(df: DataFrame, path: str, by_date: bool = False) -> None:
         df.hint("rebalance").write.parquet(path)
 
 
-def publish(spark: SparkSession, path: str, version: str, generated_at: datetime) -> None:
-    """Make a fully written version the current one."""
-    row = spark.range(1).select(
-        F.lit(version).alias("version"), F.lit(generated_at).cast("timestamp")
-        .alias("generated_at"), F.current_timestamp().alias("published_at"))
-    row.write.mode("append").parquet(f"{path}/pointers")
+def _utc(t: datetime) -> datetime:
+    return t.replace(tzinfo=UTC) if t.tzinfo is None else t.astimezone(UTC)
+
+
+class PublishConflict(RuntimeError):
+    """Another writer has published since this one looked."""
+
+
+def _newest_number(spark: SparkSession, path: str) -> int:
+    names = file_names(spark, f"{path}/pointers")
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
+def publish(
+    spark: SparkSession, path: str, version: str, generated_at: datetime, after: int | None = None,
+) -> int:
+    """Make a fully written version the current one; returns its number.
+
+    Pointers are numbered, and a number is taken by creating its file, which succeeds once. So no
+    clock decides, and of two writers at a time one gets the next number. With ``after``, the number
+    that the writer started from, the other one fails; without, it takes the number behind.
+    """
+    body = json.dumps({"version": version, "generated_at": _utc(generated_at).isoformat()})
+    while True:
+        number = (_newest_number(spark, path) if after is None else after) + 1
+        if create_small(spark, f"{path}/pointers/{number:012d}", body):
+            return number
+        if after is not None:
+            raise PublishConflict(f"Version {number} of {path.rstrip('/').split('/')[-1]} is taken.")
+
+
+def newest_pointer(spark: SparkSession, path: str) -> tuple[int, str, datetime]:
+    """Number, version and generation time of the current version."""
+    number = _newest_number(spark, path)
+    if not number:
+        raise LedgerError(f"Ledger not found: {path.rstrip('/').split('/')[-1]}")
+    found = json.loads(read_small(spark, f"{path}/pointers/{number:012d}"))
+    return number, found["version"], datetime.fromisoformat(found["generated_at"])
 
 
 def write_ledger(ledger: Ledger, path: str, generated_at: datetime) -> str:
@@ -63,15 +96,8 @@ def write_ledger(ledger: Ledger, path: str, generated_at: datetime) -> str:
 
 def current_version(spark: SparkSession, path: str) -> tuple[str, datetime]:
     """Name and generation time of the current version."""
-    try:
-        pointers = spark.read.parquet(f"{path}/pointers")
-    except AnalysisException as error:
-        if _missing(error):
-            raise LedgerError(f"Ledger not found: {path.rstrip('/').split('/')[-1]}") from error
-        raise LedgerError(f"Could not read ledger: {error.getCondition()}") from error
-    row = pointers.agg(F.max_by(F.struct("version", "generated_at"), "published_at")
-                       .alias("p")).first()
-    return row["p"]["version"], row["p"]["generated_at"]
+    _, version, generated_at = newest_pointer(spark, path)
+    return version, generated_at
 
 
 def remove_old_versions(spark: SparkSession, path: str) -> int:

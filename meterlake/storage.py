@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -38,6 +39,50 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in store.listStatus(where) if s.isDirectory()]
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly in a folder; none if it is missing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return []
+    return [s.getPath().getName() for s in store.listStatus(where) if s.isFile()]
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def create_small(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless there is one of this name; tells whether it was written.
+
+    The file is filled under another name and then renamed, and the store refuses the second rename to a
+    name, so of several writers one wins and readers see whole files only.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    # File contexts rename without overwriting, in one step where the store can.
+    context = hadoop.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = store.create(own, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        context.rename(own, where, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+        return True
+    except Py4JJavaError as error:
+        store.delete(own, False)
+        if "FileAlreadyExistsException" in str(error.java_exception.getClass()):
+            return False
+        raise
+
+
 class Scratch:
     """Tables stored while one operator runs.
 
