@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from checks import logs
 from checks import sample as S
 from meterlake.functions import labels as L
 from meterlake.functions import models as M
@@ -890,6 +891,35 @@ lev AS (SELECT at1.*, coalesce(kc.n, 0) AS tool_calls FROM at1
         LEFT JOIN kc ON kc.account_id = le.account_id AND kc.grp = le.grp)"""
 
 
+@_q("resumed_context", f"""{_LOG}
+SELECT account_id, file, event_id AS ord, kind, model, effort, cwd, tier AS service_tier, turn,
+       original AS original_likely FROM cx""")
+def _(spark, d):
+    return logs.resumed_context(spark, d)
+
+
+@_q("stream_equals_batch", f"""{_LOG},
+ln AS (SELECT file, event_id, row_number() OVER (PARTITION BY file ORDER BY event_id) AS line_no
+       FROM rw)
+SELECT account_id, regexp_extract(file, '[^/]+$') AS file, line_no, kind, model, effort, cwd,
+       tier AS service_tier, turn, original AS original_likely
+FROM cx JOIN ln USING (file, event_id)""")
+def _(spark, d):
+    return logs.streamed_context(spark, d)
+
+
+@_q("refresh_equals_rebuild", f"""{_EVENTS}
+SELECT account_id, id, ms, thread_id, project, model, effort, turn_id, service_tier, tool_calls,
+       inp AS input_tokens, cached AS cached_input_tokens, outp AS output_tokens,
+       total AS total_tokens, round(credits, 6) AS rate_card_credits FROM lev""")
+def _(spark, d):
+    led, scratch = logs.refreshed_ledger(spark, d, GENERATED)
+    return scratch.release(led.events.select(
+        "account_id", "id", _ms("ts", "ms"), "thread_id", "project", "model", "effort", "turn_id",
+        "service_tier", "tool_calls", "input_tokens", "cached_input_tokens", "output_tokens",
+        "total_tokens", *_r("rate_card_credits")))
+
+
 def _ledger(spark, d):
     """The whole ledger built from the derived log."""
     lines = lines_from_table(materialize(S.log_lines(spark, d), "lines"), 2_000)

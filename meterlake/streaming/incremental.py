@@ -14,8 +14,10 @@ All tables change in one step (see `parts`). The five tables equal those of a fu
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,12 @@ GROUP = [ACCOUNT, "call_group"]
 THREAD = [ACCOUNT, "thread_id"]
 
 
+def _together(*steps: Callable) -> list:
+    """Results of steps that do not depend on each other; their jobs run side by side."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(step) for step in steps]]
+
+
 def _touched(*frames: DataFrame) -> set[str]:
     """Parts named by some rows: at most as many as there are parts."""
     return {row[PART] for row in reduce(DataFrame.union, [f.select(PART) for f in frames]).distinct().collect()}
@@ -138,7 +146,6 @@ class _Change:
         calls = self.scratch.store(calls, "tools").withColumn("key", D.tool_key())
         content, at = self.with_old("series", self._series(calls), by_file, gone)
         self.put("series", content.groupBy(*C.CALL_SERIES).agg(F.max("ordinal").alias("ordinal")), by_file, at)
-
         tokens = C.token_records(ctx).withColumn("key", D.call_key()).withColumn("id", D.call_id(F.col("key")))
         kinds = {
             "call_copies": (tokens, part_of(n, ACCOUNT, F.coalesce("turn", "id"))),
@@ -148,13 +155,16 @@ class _Change:
             "parents": (C.parent_candidates(ctx), by_file),
             "counters": (C.file_counters(ctx), by_file),
         }
-        for table, (new, key) in kinds.items():
+
+        def bring(table: str, new: DataFrame, key: Column) -> None:
             content, touched[table] = self.with_old(table, new, key, gone)
             if table == "turn_parts":
                 content = C.merge_turn_parts(content)
             if table == "counters":
                 content = content.groupBy(*FILE).agg(F.sum("parse_errors").alias("parse_errors"), F.sum("correction_intervals").alias("correction_intervals"))
             self.put(table, content, key, touched[table])
+
+        _together(*[partial(bring, table, new, key) for table, (new, key) in kinds.items()])
         return touched
 
     @staticmethod
@@ -174,14 +184,15 @@ class _Change:
         tools = D.dedupe_tool_calls(read("tool_copies", touched["tool_copies"]))
         quota = D.dedupe_quota(read("quota_copies", touched["quota_copies"]))
         old_calls, old_tools = self.old("calls", calls, turns), self.old("tools", tools, touched["tool_copies"])
-        self.put("origins", origins, by_turn, turns)
-        self.put("calls", calls, part_of(n, ACCOUNT, F.coalesce("turn", "id")), turns)
-        self.put("tools", tools, part_of(n, ACCOUNT, "key"), touched["tool_copies"])
-        self.put("quota", quota.withColumn("limit", F.col("limit_key")), part_of(n, ACCOUNT, "limit", "window_minutes", "resets_at", "used_percent"),
-                 touched["quota_copies"])
+        by_reading = part_of(n, ACCOUNT, "limit_key", "window_minutes", "resets_at", "used_percent")
+        _together(partial(self.put, "origins", origins, by_turn, turns),
+                  partial(self.put, "calls", calls, part_of(n, ACCOUNT, F.coalesce("turn", "id")), turns),
+                  partial(self.put, "tools", tools, part_of(n, ACCOUNT, "key"), touched["tool_copies"]),
+                  partial(self.put, "quota", quota, by_reading, touched["quota_copies"]))
         calls_now, tools_now = read("calls", turns), read("tools", touched["tool_copies"])
-        return ([self.scratch.store(d, "calls") for d in _differing(old_calls, calls_now, ID)],
-                [self.scratch.store(d, "tools") for d in _differing(old_tools, tools_now, [ACCOUNT, "key"])])
+        pairs = [*_differing(old_calls, calls_now, ID), *_differing(old_tools, tools_now, [ACCOUNT, "key"])]
+        stored = _together(*[partial(self.scratch.store, d, "differing") for d in pairs])
+        return stored[:2], stored[2:]
 
     # ---- Ledger tables
 
@@ -189,7 +200,7 @@ class _Change:
         read = self.parts.read
         facts = self.scratch.store(A.thread_facts(meta.state, meta.titles, D.thread_parents(meta.edges, read("parents"))), "facts")
         by_thread = part_of(self.n, *THREAD)
-        facts_differ = [self.scratch.store(d, "facts") for d in _differing(self.old("facts", facts), facts, THREAD)]
+        facts_differ = _together(*[partial(self.scratch.store, d, "facts") for d in _differing(self.old("facts", facts), facts, THREAD)])
         threads = reduce(DataFrame.union, [d.select(*THREAD) for d in [*facts_differ, *calls]]).distinct()
         threads = self.scratch.store(threads, "threads")
         in_thread = _only(read("calls").select(ACCOUNT, "turn", "thread_id"), facts_differ[0].union(facts_differ[1]), THREAD)
@@ -281,7 +292,7 @@ def read_store(spark: SparkSession, store: str) -> Ledger:
     held = Parts.open(spark, store)
     if "events" not in held.schemas:
         raise LedgerError(f"Ledger not found: {store.rstrip('/').split('/')[-1]}")
-    return Ledger(events=held.read("events"), threads=held.read("threads"), quota_observations=held.read("quota").drop("limit"),
+    return Ledger(events=held.read("events"), threads=held.read("threads"), quota_observations=held.read("quota"),
                   coverage=held.read("coverage"), provenance=held.read("provenance"))
 
 
