@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
 from meterlake.llm.components import components
-from meterlake.llm.texts import map_texts, mix, word_hashes, words
+from meterlake.llm.texts import free_name, map_texts, mix, word_hashes, words
 from meterlake.storage import Scratch
 
 PIVOT_ROUNDS = 2
@@ -287,5 +287,6 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80), doc_id: str = "doc_id",
     Rows with a null id stay. The columns are those of `docs`.
     """
     groups = similar_groups(docs, rule, doc_id, text)
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("gone_id"), "left_anti")
+    own = free_name(docs.columns, "gone_id")
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col(own), "left_anti")

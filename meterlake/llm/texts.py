@@ -109,6 +109,14 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * np.cumprod(down)[start] + (end - start).astype(np.uint64))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, or one like it that no column has, whatever the case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str, parts: int, part: int) -> Column:
     """Whether a document belongs to the part kept out of training; a null id counts as empty."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts == part

@@ -17,7 +17,9 @@ def test_stages(spark):
     extra = spark.createDataFrame(
         [(None, "a text without an id that stands alone here", "en", None, 40), (90_001, None, None, None, None), (90_002, "", "en", "src1", 0)],
         docs.schema)
-    docs = docs.unionByName(extra).withColumn("score", F.lit(1))
+    # Columns named like results, or like what stages call their own.
+    own = ["score", "predicted", "own_score", "own_predicted", "gone_id", "masked_before", "gone_id_"]
+    docs = docs.unionByName(extra).withColumns({c: F.lit(1) for c in own})
     seen = [docs.cache()]
     for name, stage in corpus_pipeline.STAGES:
         seen.append(stage(spark, seen[-1], SF).cache())
