@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meterlake import configure
 from meterlake.llm import mixing, ngram_jaccard, quality, secret_scan, sentencepiece_fst
+from meterlake.llm.texts import free_name
 from meterlake.storage import Scratch
 
 
@@ -15,10 +17,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the classifier does not reject (score of 0.7 or more); it learns from `labels`."""
     configure(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs.withColumnsRenamed({"score": "own_score", "predicted": "own_predicted"}), model,
-                           [{"score": "own_score", "predicted": "own_predicted"}.get(c, c) for c in docs.columns])
-    kept = scored.filter("predicted = 1").drop("score", "predicted")
-    return kept.withColumnsRenamed({"own_score": "score", "own_predicted": "predicted"}).select(*[f"`{c}`" for c in docs.columns])
+    # Own columns of the names of results step aside for the while.
+    aside = {c: free_name([*docs.columns, "score", "predicted"], f"own_{c}") for c in docs.columns if c.lower() in ("score", "predicted")}
+    scored = quality.score(docs.withColumnsRenamed(aside), model, [aside.get(c, c) for c in docs.columns])
+    return scored.filter("predicted = 1").select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
