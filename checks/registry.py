@@ -1018,6 +1018,29 @@ def _(spark, d):
     return _pathed(spark, d).select("doc_id", L.redact_paths(F.col("text")).alias("redacted"))
 
 
+# Spaces beyond ASCII, in turn by document; all of them are white space in names.
+_WIDE = "\u00a0\u2003\u3000\ufeff"
+_WIDE_SQL = f"substr('{_WIDE}', (doc_id % 4 + 1)::BIGINT, 1)"
+
+
+@_q("wide_spaces", f"""
+WITH t AS (SELECT doc_id, {_WIDE_SQL} AS sp, source FROM documents),
+n AS (SELECT doc_id, sp || ' GPT-5.4' || sp || sp || 'mini_' || source AS model, 'my' || sp || 'api_' || sp || 'call-' || source AS use_type,
+             '/tmp/' || source || sp || 'x' || sp || '/etc/' || source AS s FROM t)
+SELECT doc_id, 'gpt-5.4-mini' AS canonical, 'My API Call ' || upper(left(regexp_extract(use_type, '[^-]+$'), 1)) || substr(regexp_extract(use_type, '[^-]+$'), 2) AS label,
+       '[local path]' || {_WIDE_SQL} || 'x' || {_WIDE_SQL} || '[local path]' AS redacted,
+       regexp_replace(s, '[{_WIDE}]+', ' ', 'g') AS clean
+FROM n""")
+def _(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
+    sp = F.substr(F.lit(_WIDE), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1))
+    text = F.concat(F.lit("/tmp/"), "source", sp, F.lit("x"), sp, F.lit("/etc/"), "source")
+    return docs.select(
+        "doc_id", M.normalize_model(F.concat(sp, F.lit(" GPT-5.4"), sp, sp, F.lit("mini_"), "source")).alias("canonical"),
+        L.usage_type_label(F.concat(F.lit("my"), sp, F.lit("api_"), sp, F.lit("call-"), "source")).alias("label"),
+        L.redact_paths(text).alias("redacted"), L.clean_label(text, "").alias("clean"))
+
+
 @_q("clean_labels", """
 WITH t AS (SELECT page_id, chr(27) || '[31m' || url || chr(27) || '[0m' || chr(9) || chr(10)
              || ' page ' || page_id AS s FROM pages),

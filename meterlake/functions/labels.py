@@ -16,9 +16,11 @@ WHITE_SPACE = (
     " \t\n\r\f\x0b\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-SPACES = f"[{WHITE_SPACE}]+"
-USER_PATH = f"/Users/[^{WHITE_SPACE}\"'`]+"
-TEMP_PATH = f"/(?:private/)?tmp/[^{WHITE_SPACE}\"'`]+"
+# The same characters inside a class of a pattern; ranges are faster to match.
+IN_CLASS = "\\x09-\\x0d\\x20\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACES = f"[{IN_CLASS}]+"
+USER_PATH = f"/Users/[^{IN_CLASS}\"'`]+"
+TEMP_PATH = f"/(?:private/)?tmp/[^{IN_CLASS}\"'`]+"
 SECRET_TEXT = (
     "\\b(?:sk-[A-Za-z0-9_-]{16,}|lin_api_[A-Za-z0-9_-]{12,}|gh[pousr]_[A-Za-z0-9_-]{16,})\\b"
 )
@@ -87,11 +89,11 @@ _QUOTED = {
     )
     for q in ("'", '"')
 }
-# Fixed value: the characters that end a bare path, in their published order. The alternatives below are
-# written out because the expressions are shared with an engine without look-ahead.
-_STOP = WHITE_SPACE + "\"'`)\\]},;"
+# Fixed value: the characters that end a bare path, in their published order.
+_STOP = IN_CLASS + "\"'`)\\]},;"
+# The pattern starts at the path itself and looks back for what opens one: few places have to be tried.
 _BARE = (
-    f"(^|[{WHITE_SPACE}(\\[{{=])"
+    f"(?<![^{IN_CLASS}(\\[{{=])"
     f"(?:(?://|\\\\\\\\|[A-Za-z]:[\\\\/])[^{_STOP}]+|/[^/{_STOP}][^{_STOP}]*)"
 )
 
@@ -107,13 +109,13 @@ def redact_paths(c: Column, paths: Iterable[str] = (), home_dirs: Iterable[str]
         out = F.replace(out, F.lit(path), word)
     for quote, pattern in _QUOTED.items():
         out = F.regexp_replace(out, pattern, f"{quote}{LOCAL_PATH}{quote}")
-    return F.regexp_replace(out, _BARE, f"$1{LOCAL_PATH}")
+    return F.regexp_replace(out, _BARE, LOCAL_PATH)
 
 
 def usage_type_label(c: Column) -> Column:
     """`tool_call` → `Tool Call`; short interface names in capitals."""
     raw = F.coalesce(_present(c), F.lit("unknown"))
-    words = F.filter(F.split(_trim(F.regexp_replace(raw, "[_-]+", " ")), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(_trim(F.regexp_replace(raw, "[_-]+", " ")), SPACES), lambda w: w != "")
 
     def title(w: Column) -> Column:
         low = F.lower(w)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.functions.labels import clean_label
+from meterlake.functions.labels import IN_CLASS, WHITE_SPACE, clean_label
 from meterlake.functions.numbers import has_breakdown
 
 
@@ -44,11 +44,9 @@ TREND_FAMILIES = [
 ]
 DASHBOARD_FAMILIES = ["Luna", "Sol", "Terra", "GPT", "Other"]
 
-_SPACE = " \t\n\r\f\x0b"
-
 
 def _trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit(_SPACE))
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def _first_match(rules: list[tuple[Column, Column]], default: Column) -> Column:
@@ -61,7 +59,7 @@ def _first_match(rules: list[tuple[Column, Column]], default: Column) -> Column:
 def _dashed(model: Column) -> Column:
     """Model name in lower case with dashes for spaces and underscores."""
     raw = F.coalesce(F.nullif(model, F.lit("")), F.lit("unknown"))
-    return F.regexp_replace(F.lower(_trimmed(raw)), r"[\s_]+", "-")
+    return F.regexp_replace(F.lower(_trimmed(raw)), f"[{IN_CLASS}_]+", "-")
 
 
 def _card_entry(model: Column, rates: dict[str, Rate]) -> Column:
