@@ -10,7 +10,7 @@ from meterlake.functions.numbers import local_date
 from meterlake.keys import ACCOUNT
 from meterlake.operators.burn import _bin_of, bin_days
 from meterlake.operators.meter import ORDER, current_meter
-from meterlake.operators.scan import Running, running, time_chunk
+from meterlake.operators.scan import Running, even_ranges, running
 from meterlake.operators.windows import Bounds, in_range
 
 
@@ -74,9 +74,10 @@ def resample_meter(points: DataFrame, found: DataFrame, b: Bounds, n: int) -> Da
     marks = found.select(ACCOUNT, F.col("ts").alias("at"), F.lit(0).alias("kind"),
                          F.col("ts").alias("mark"))
     both = samples.unionByName(seen, allowMissingColumns=True).unionByName(
-        marks, allowMissingColumns=True).withColumn("_chunk", time_chunk(F.col("at"), 86_400))
+        marks, allowMissingColumns=True)
+    order = ["at", "kind", "tie", "tie2"]
     run = running(
-        both, [ACCOUNT], "_chunk", ["at", "kind", "tie", "tie2"],
+        even_ranges(both, [ACCOUNT], order, "marks"), [ACCOUNT], "_chunk", order,
         {"p": Running("last", F.col("point")), "m": Running("last", F.col("mark"))})
     before = F.when(
         F.col("sample") == 0, F.lit(b.start_ms) * 1_000 - 1_000

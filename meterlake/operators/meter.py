@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.numbers import clamp_percent
 from meterlake.keys import ACCOUNT, RESET_JITTER_SECONDS, WEEK_MINUTES
 from meterlake.operators.first_fit import CHUNK_ROWS, first_fit_windows
-from meterlake.operators.scan import Running, running, time_chunk
+from meterlake.operators.scan import Running, even_ranges, running
 from meterlake.storage import Scratch, materialize
 
 ORDER = ["ts", "resets_at", "seen"]
@@ -152,7 +152,8 @@ def normalize_timeline(obs: DataFrame) -> DataFrame:
     Readings at or after the next cycle's first are stale and go; a dip inside a cycle is lifted to
     the highest reading so far.
     """
-    placed = materialize(assign_epochs(obs), "placed")
+    # Even ranges of an account's time, so that its busiest hour is no single task.
+    placed = even_ranges(assign_epochs(obs), [ACCOUNT], ORDER, "placed")
     table = cycles(epoch_table(placed))
     live = placed.join(
         table.select(ACCOUNT, "cluster", "part", "cycle", "next_first_ts", "first_reading",
@@ -163,7 +164,7 @@ def normalize_timeline(obs: DataFrame) -> DataFrame:
         *obs.columns, "cycle", "reset_kind", "cycle_start_ts",
         ((F.struct(*ORDER) == F.col("first_reading")) & (F.col("reset_kind") != "start"))
         .alias("reset"),
-        time_chunk(F.col("ts")).alias("_chunk"),
+        "_chunk",
     )
     lifted = running(
         shaped, [ACCOUNT, "cycle"], "_chunk", ORDER,

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.storage import materialize
+
 
 @dataclass(frozen=True)
 class Running:
@@ -122,6 +124,15 @@ def closing(
         _merge(v.kind, F.col(f"_e_{n}"), F.col(f"_i_{n}")).alias(n) for n, v in values.items()])
 
 
+def even_ranges(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """The rows with ``_chunk``, their number of even range along keys and order.
+
+    The table is stored, because both passes of ``running`` must see the same ranges.
+    """
+    ranged = df.repartitionByRange(*keys, *order)
+    return materialize(ranged.withColumn("_chunk", F.spark_partition_id()), name)
+
+
 def time_chunk(ts: Column, seconds: int = 3600) -> Column:
     """Chunk number of an instant; follows time order."""
     return F.floor(F.unix_seconds(ts) / F.lit(seconds)).cast("long")
