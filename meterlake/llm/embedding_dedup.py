@@ -3,8 +3,8 @@
 Filters are directions of a structured random product code: after a random rotation the dimensions are
 cut into parts, each part has its own random codewords, and a filter is one codeword per part. A vector
 passes all filters whose inner product with it exceeds a height. These are listed part by part, leaving
-branches whose best completion stays below the height, so the code is never enumerated. Codes of up to
-`PLAIN` filters have one part.
+branches whose best completion stays below the height, so the code is never enumerated. Codes have two
+parts at least, whatever the number of vectors (one dimension cannot be cut and has one).
 
 The height follows the number of vectors: a filter is passed by about `PER_FILTER` of random vectors,
 whatever the table's size. Codes with rotations of their own are added until all but `MISSED` of
@@ -12,13 +12,17 @@ simulated random pairs at the least cosine share a filter, so recall does not de
 the codes allowed do not suffice (low cosines), filters are made wider, up to one that all vectors pass.
 
 Each shared filter is joined in blocks of bounded size, so a filter that many vectors pass is spread
-over many tasks. A pair is counted in the smallest filter that it shares, and only there; what leaves a
-task is per vector, not per pair. Every link is verified by its cosine in double precision.
+over many tasks. First only ids go there, with `BITS` signs of random projections: vectors that have no
+other one of their block within as many differing signs as the least cosine allows (but for a chance of
+`TAIL`) are done with that block. The others meet their vectors and filters and come back. A pair is
+counted in the smallest filter that it shares, and only there; what leaves a task is per vector, not per
+pair. Every link is verified by its cosine in double precision.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import acos, comb, pi
 from statistics import NormalDist
 
 import numpy as np
@@ -32,9 +36,10 @@ from meterlake.storage import Scratch
 
 FILTERS = 24
 PER_FILTER = 96
-PLAIN = 1 << 15
 MISSED = 0.0005
 BLOCK = 512
+BITS = 128
+TAIL = 1e-9
 
 
 @dataclass(frozen=True)
@@ -48,9 +53,8 @@ class CapCode:
     @staticmethod
     def draw(share: float, d: int, seed: int) -> CapCode:
         """A code whose filters are each passed by `share` of random unit vectors of d dimensions."""
-        plain = FILTERS / share <= PLAIN
-        filters = FILTERS / share / (1 if plain else 4)
-        parts = 1 if plain else max(2, min(d, round(np.log(filters) / np.log(1024))))
+        filters = FILTERS / share / 4
+        parts = min(d, max(2, round(np.log(filters) / np.log(1024))))
         size = int(np.ceil(filters ** (1 / parts)))
         random = np.random.default_rng(seed + 1)
         edges = np.linspace(0, d, parts + 1).astype(int)
@@ -132,6 +136,32 @@ def all_filters(codes: list[CapCode], vectors: np.ndarray) -> list[np.ndarray]:
     return np.split(name[order], np.searchsorted(row[order], np.arange(1, len(vectors))))
 
 
+def most_differing(least: float) -> int:
+    """Signs in which vectors at the least cosine differ at most, but for a chance of `TAIL`."""
+    p = acos(min(max(least, -1.0), 1.0)) / pi
+    beyond, k = 0.0, BITS
+    while k > 0 and beyond + comb(BITS, k) * p**k * (1 - p) ** (BITS - k) <= TAIL:
+        beyond += comb(BITS, k) * p**k * (1 - p) ** (BITS - k)
+        k -= 1
+    return k
+
+
+def signs(vectors: np.ndarray, seed: int = 23) -> np.ndarray:
+    """Signs of `BITS` random projections of each vector, 64 to a number."""
+    over = vectors @ np.random.default_rng(seed).standard_normal((vectors.shape[1], BITS)) > 0
+    return np.packbits(over, axis=1).view(np.int64)
+
+
+def _near(left: pd.DataFrame, right: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Rows of two blocks that have another one of the other block within `most` differing signs."""
+    a, b = (df[["sign_0", "sign_1"]].to_numpy().view(np.uint64) for df in (left, right))
+    close = (np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.int16) + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])) <= most
+    if left is right:
+        np.fill_diagonal(close, False)
+        return left[close.any(axis=1)]
+    return pd.concat([left[close.any(axis=1)], right[close.any(axis=0)]])
+
+
 def _links(left: pd.DataFrame, right: pd.DataFrame, name: int, least: float) -> pd.DataFrame:
     """Links between two blocks of one filter, as counts and a spanning forest."""
     same = left is right
@@ -207,28 +237,37 @@ def _linked(named: DataFrame, d: int, least: float, scratch: Scratch) -> DataFra
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at: at + 256]
                 m = matrix(part["vector"])
-                yield part.assign(filters=all_filters(codes.value, m / np.linalg.norm(m, axis=1, keepdims=True)))
+                m /= np.linalg.norm(m, axis=1, keepdims=True)
+                s = signs(m)
+                yield part.assign(filters=all_filters(codes.value, m), sign_0=s[:, 0], sign_1=s[:, 1])
 
     caps = classes.select(F.col("first").alias("vec_id"), "copies", "vector").mapInPandas(
-        passed, f"vec_id long, copies long, vector {classes.schema['vector'].dataType.simpleString()}, filters array<long>")
+        passed, f"vec_id long, copies long, vector {classes.schema['vector'].dataType.simpleString()}, filters array<long>, sign_0 long, sign_1 long")
     caps = scratch.store(caps, "caps")
-    rows_of = caps.select("vec_id", "copies", "vector", "filters", F.explode("filters").alias("filter"))
+    rows_of = caps.select("vec_id", "sign_0", "sign_1", F.explode("filters").alias("filter"))
     sizes = caps.select(F.explode("filters").alias("filter")).groupBy("filter").count().filter("count > 1")
     # A filter of many vectors is cut into blocks; each pair of its blocks is a group of its own.
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     dealt = (rows_of.join(sizes, "filter").withColumn("blocks", blocks)
              .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "filter", "vec_id", "copies", "vector", "filters", "block",
+        "filter", "vec_id", "sign_0", "sign_1", "block",
         F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    most = most_differing(least)
+
+    def halves(group: pd.DataFrame, lo: int, hi: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        return (group, group) if lo == hi else (group[group["block"] == lo], group[group["block"] == hi])
+
+    def near(key, group: pd.DataFrame) -> pd.DataFrame:
+        return _near(*halves(group, key[1], key[2]), most)[["filter", "lo", "hi", "block", "vec_id"]]
 
     def within(key, group: pd.DataFrame) -> pd.DataFrame:
-        name, lo, hi = int(key[0]), key[1], key[2]
-        if lo == hi:
-            return _links(group, group, name, least)
-        return _links(group[group["block"] == lo], group[group["block"] == hi], name, least)
+        return _links(*halves(group, key[1], key[2]), int(key[0]), least)
 
-    found = scratch.store(paired.groupBy("filter", "lo", "hi").applyInPandas(within, "vec_id long, root long, n long"), "found")
+    meet = ["filter", "lo", "hi"]
+    close = paired.groupBy(*meet).applyInPandas(near, "filter long, lo int, hi int, block int, vec_id long")
+    paired = close.join(caps.drop("sign_0", "sign_1"), "vec_id")
+    found = scratch.store(paired.groupBy(*meet).applyInPandas(within, "vec_id long, root long, n long"), "found")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "first")
     groups = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")), scratch).withColumnRenamed("node", "first")
     return (members.join(counts, "first", "left").join(groups, "first", "left")

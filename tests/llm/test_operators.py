@@ -247,6 +247,35 @@ def test_cap_codes_reach_the_least_cosine(least, most_codes):
     assert np.mean([len(np.intersect1d(x, y)) == 0 for x, y in both]) <= 0.005
 
 
+@pytest.mark.parametrize("n", [1, 500, 51_282, 140_000])
+def test_cap_codes_are_products(n):
+    """Codes have parts at every size, and listing them part by part finds what scoring each filter finds."""
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((40, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for code in embedding_dedup.fit(n, 32, 0.95):
+        assert len(code.words) >= 2
+        turned, edges = v.astype(np.float32) @ code.turn, np.cumsum([0, *[w.shape[1] for w in code.words]])
+        score = np.zeros((40, 1))
+        for w, a, b in zip(code.words, edges[:-1], edges[1:]):
+            score = (score[:, :, None] + (turned[:, a:b] @ w.T)[:, None, :]).reshape(40, -1)
+        row, name = code.filters(v)
+        listed = np.zeros(score.shape, bool)
+        listed[row, name] = True
+        assert (listed == (score >= code.height))[np.abs(score - code.height) > 1e-5].all()
+
+
+def test_signs_keep_pairs_at_the_least_cosine():
+    rng = np.random.default_rng(5)
+    for d, least in ((2, 0.95), (64, 0.95), (64, 0.6)):
+        a, side = rng.standard_normal((2, 20_000, d))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        side -= (side * a).sum(axis=1, keepdims=True) * a
+        b = least * a + np.sqrt(1 - least**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+        apart = np.bitwise_count((embedding_dedup.signs(a) ^ embedding_dedup.signs(b)).view(np.uint64)).sum(axis=1)
+        assert apart.max() <= embedding_dedup.most_differing(least)
+
+
 def test_vectors_of_several_dimensions(spark):
     """Each dimension has links, queries and candidates of its own, also when another one is more frequent."""
     rng = np.random.default_rng(12)
