@@ -35,7 +35,7 @@ from meterlake.llm.vectors import dimensions, matrix, of_dimension, rotation, us
 from meterlake.storage import Scratch
 
 FILTERS = 24
-PER_FILTER = 96
+PER_FILTER = 256
 MISSED = 0.0005
 BLOCK = 512
 BITS = 128
