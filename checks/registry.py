@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from checks import logs
+from checks import logs, readers
 from checks import sample as S
 from meterlake.functions import labels as L
 from meterlake.functions import models as M
@@ -1123,3 +1123,7 @@ def _(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     use = F.concat("source", F.lit("_"), "lang", F.lit("-api run"))
     return docs.select("doc_id", use.alias("use_type"), L.usage_type_label(use).alias("label"))
+
+
+QUERIES.update(readers.QUERIES)
+ORACLES.update(readers.ORACLES)
