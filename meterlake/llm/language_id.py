@@ -114,7 +114,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
           docs_per_lang: int = 4000, table_mb: int = 32) -> LanguageModel:
     """Count context trees on labelled documents.
 
-    The one bound is about `docs_per_lang` whole documents of each language (by hash of id and text). Every
+    The one bound is about `docs_per_lang` whole documents of each language (by hash of id and text; a
+    repeated row counts once). Every
     language is learned, and all contexts of its sample count. `table_mb` bounds memory when scoring,
     not the model. Rows with a null or empty text or language are not used.
     """
@@ -126,14 +127,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         return LanguageModel([], np.zeros(256, np.uint8), 1, [], [], table_mb << 20)
     # A row per language, so broadcast.
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, docs_per_lang / r["count"])) for r in sizes], "lang string, share double")
-    sample = labelled.join(F.broadcast(shares), "lang").filter(hash_share(F.struct("id", "text"), F.col("share"))).select("lang", "text")
+    sample = labelled.join(F.broadcast(shares), "lang").filter(hash_share(F.struct("id", "text"), F.col("share"))).select("id", "lang", "text").distinct()
 
     # Every byte of the sample gets a symbol of its own; others share symbol 0 with text starts. As A-Z are
     # folded, there are 230 at most.
     def count_bytes(batches):
         seen = np.zeros(256, np.int64)
         for batch in batches:
-            seen += np.bincount(utf8(batch.column(1))[0], minlength=256)
+            seen += np.bincount(utf8(batch.column(2))[0], minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(seen)], ["byte", "n"])
 
     rows = (sample.mapInArrow(count_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n"))
@@ -149,8 +150,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     def count_grams(batches):
         totals: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            who = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+            data, offsets = utf8(batch.column(2))
+            who = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
             for a, b in chunks(offsets):
                 runs = _runs(symbol, data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
                 key = np.repeat(who[a:b], np.diff(offsets[a: b + 1])) << 32 | runs

@@ -1,8 +1,9 @@
 """Mixing sources to target weights with exact word budgets, in DataFrame functions only.
 
-Every document gets a key from a hash of its id. Within each source, keys are cut into equal ranges
-(chunks); each chunk is sorted and summed on its own, and one row per chunk carries the totals of the
-chunks before it. A hot source is thus spread over as many tasks as it has chunks.
+Every document gets a key from a hash of its id, or of its text if it has no id. Within each source,
+keys are cut into equal ranges (chunks); each chunk is sorted and summed on its own, and one row per
+chunk carries the totals of the chunks before it. A hot source is thus spread over as many tasks as it
+has chunks.
 """
 
 from __future__ import annotations
@@ -54,12 +55,13 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text", source: str = "so
     source; the last pass goes in key order and takes `rest` words of each document: all words until
     the budget ends, then part of one document, then none. `taken` is the total, repeats counted.
     Ties in the key go by id and size; rows equal in all three share their places in some order.
-    A null text has size 0 and takes 0; a null source is a source of its own; a null id counts as the
-    empty id. Each source may hold any part of the rows. No random numbers: reruns agree. Carried
-    columns with the name of a result give way to it.
+    A null text has size 0 and takes 0; a null source is a source of its own; rows without an
+    id are ordered by their texts instead, so that they spread over chunks, while rows of one id share a
+    chunk. Each source may hold any part of the rows. No random numbers: reruns agree. Carried columns with the name of a result give way to it.
     """
     carry = [c for c in carry if c not in ("size", "source_size", "target", "epochs", "rest", "taken")]
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    named = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text:"), F.col(text)), F.lit(""))
+    key = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
     inner = [f"carry_{i}" for i in range(len(carry))]
     sized = docs.select(
         *[docs[f"`{c}`"].alias(a) for c, a in zip(carry, inner)],

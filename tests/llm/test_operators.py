@@ -398,6 +398,10 @@ def test_samples_are_bounded_in_rows(spark, monkeypatch):
         assert rows.count() == rows.select("mark_id", "text").distinct().count()
         n = {r["mark"]: r["count"] for r in rows.groupBy("mark").count().collect()}
         assert n == {1: 2501, 0: 500} if size == 10_000 else all(20 <= n[k] <= 100 for k in (0, 1))
+    assert secret_scan.sample_texts(docs, "text", "doc_id", 10_000).count() == 3001
+    assert 20 <= secret_scan.sample_texts(docs, "text", "doc_id", 100).count() <= 200
+    once, often = (language_id.train(spark.createDataFrame([(1, "aba c", "x")] * n + [(2, "dd", "y")], "doc_id long, text string, lang string")) for n in (1, 500))
+    assert all((a.bits == b.bits).all() for a, b in zip(once.gains, often.gains))
     monkeypatch.setattr(vector_search, "SAMPLE", 100)
     for spread in ("id", "0"):
         vectors = spark.range(4000).selectExpr(f"{ids} AS vec_id", f"array(1D, IF(id < 3000, {spread}, id) / 4000D) AS vector")
@@ -452,6 +456,11 @@ def test_mixing(spark, odd, none):
     copies = mixing.copies(docs)
     got = {r["source"]: r["n"] for r in copies.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
     assert copies.columns == docs.columns and {k: v for k, v in want.items() if v} == {k: v for k, v in got.items() if v}
+    # Rows without an id spread over the chunks of their source.
+    same = mixing.mix(spark.range(2000).selectExpr("NULL AS doc_id", "concat('w ', id) AS text", "'s' AS source"), ["doc_id"])
+    assert same.agg(F.sum("taken")).first()[0] == 4000
+    pieces = re.findall(r"w \d+", " ".join(r["text"] for r in mixing.copies(spark.range(50).selectExpr("NULL AS doc_id", "concat('w ', id) AS text", "'s' AS source")).collect()))
+    assert sorted(pieces) == sorted(f"w {i}" for i in range(50))
     assert mixing.mix(none, ["doc_id"]).count() == 0 and mixing.copies(none).count() == 0
 
 
