@@ -10,14 +10,19 @@ differing members. By the pigeonhole principle two similar sets agree in a block
 * A set emits its first d + 1 + s filled blocks, d being its greatest possible difference to a partner.
   Both sets of a similar pair then emit s + 1 blocks that agree, s being the smaller set's: up to the
   k-th of them, each set has at most d filled blocks that differ.
-* Small sets have a block per member and emit all, so s is what exceeds d + 1. There, what stands before
+* Small sets have a block per member and emit all, so s is all but what a similar set may lack, and one. There, what stands before
   the first sketch that two sets agree in differs, which bounds their difference from below.
 * Sketches of passages that many texts share come from many sets. Of its sketches that others share, a
   set leaves out the s most common (the order is the same for all sets, so the rarest block that two
   similar sets agree in stays in both). A set with no more than s shared sketches has no partner.
 * Sets that agree in a block are not all compared: they are tested against pivots of their block, and
-  what is then connected is not tested again. The pairs that remain between different components are
-  all tested, so no link that matters for a component is lost.
+  what is then connected is not tested again. Pairs that remain between different components are compared
+  within blocks of few sets.
+* Blocks of many sets that are still not connected hold texts with a long template in common. Their sets
+  meet by their rarest members instead: of two similar sets, the smaller's members that the larger lacks
+  are so few that one of its first rarest members is among the first ones of the larger. What all have in
+  common is then never a reason to compare two sets. Members and blocks of one member go this way alike,
+  and a member of many sets is dealt into parts.
 * A test first compares 1,024-bit parity sketches, whose Hamming distance must not exceed the bound,
   then counts the members in common.
 
@@ -40,6 +45,10 @@ from meterlake.llm.texts import free_name, map_texts, mix, word_hashes, words
 from meterlake.storage import Scratch
 
 PIVOT_ROUNDS = 2
+#: Sets of a block that are compared with each other; those of larger blocks meet by their rarest members.
+CROWDED = 64
+#: Sets that a task meets at a time for one member.
+PART = 1024
 #: Parts into which the documents of a class of equal sets are dealt.
 SALTS = 256
 #: Widest size ratio within a band, overlap included; bands up to the second size have a block per member.
@@ -62,6 +71,14 @@ class Rule:
         """Most members by which a set of n and a larger similar one can differ."""
         return (n + n * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
+    def lacking(self, n: Column) -> Column:
+        """Most members of a set of n that any similar set lacks."""
+        return F.floor(n * (100 - self.percent) / 100)
+
+    def lacking_in_larger(self, n: Column) -> Column:
+        """Most members of a set of n that a similar set of the same size or more lacks."""
+        return F.floor(n * (100 - self.percent) / (100 + self.percent))
+
     def spare(self, n: int) -> int:
         return 4 + n // 50
 
@@ -189,6 +206,56 @@ def _hamming(a: str, b: str) -> Column:
     return sum(words[1:], words[0])
 
 
+def _both(a: DataFrame, b: DataFrame, on: list[str], smaller_first: bool, rule: Rule) -> DataFrame:
+    """(doc_id, other) of different components that agree in `on`, by sizes, places and parity sketches."""
+    other = b.select(*on, *[F.col(c).alias(f"other_{c}") for c in ("component", "n", "before", "parity")], F.col("doc_id").alias("other"))
+    if smaller_first:
+        order = (F.col("component") != F.col("other_component")) & (F.struct("n", "doc_id") < F.struct(F.col("other_n").alias("n"), F.col("other").alias("doc_id")))
+    else:
+        order = F.col("component") < F.col("other_component")
+    met = a.alias("a").join(other.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [
+        order, _possible(rule), rule.within(F.col("n").cast("long"), F.col("other_n").cast("long"), _hamming("parity", "other_parity"))])
+    return met.select("doc_id", "other")
+
+
+def _rarest(ids: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(key, doc_id, component, n, before) of each set's rarest members, as many as may lack in a partner and one.
+
+    Rare are members that few of the sets `ids` (doc_id, component) hold; members that one set holds
+    count as places before, not as rows.
+    """
+    members = sets.join(ids, "doc_id").select("doc_id", "component", "n", F.explode("members").alias("key"))
+    shared = members.groupBy("key").count().filter("count > 1")
+    own = Window.partitionBy("doc_id")
+    return (members.join(shared, "key").withColumn("before", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("count", "key")) - 1)
+            .filter(F.col("before") <= rule.lacking(F.col("n"))).select("key", "doc_id", "component", "n", "before"))
+
+
+def _rare_pairs(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, other) of different components that meet in a rare member of the smaller set.
+
+    The smaller set comes with the fewer members that a larger partner may lack, the larger one with
+    all its rows. A member's rows are dealt into parts of some `PART`, and the smaller sets go to each.
+    """
+    first = F.col("before") <= rule.lacking_in_larger(F.col("n"))
+    parts = rows.groupBy("key").agg(F.count("*").alias("rows"), F.count_if(first).alias("smaller")).filter("rows > 1 AND smaller > 0")
+    dealt = (rows.join(parts.select("key", F.ceil(F.col("rows") / PART).alias("parts")), "key")
+             .join(sets.select("doc_id", "parity"), "doc_id"))
+    smaller = dealt.filter(first).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    larger = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    return _both(smaller, larger, ["key", "part"], True, rule)
+
+
+def _remaining_pairs(placed: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, other) still to be verified of the rows (key, doc_id, component, n, before, sets) of open blocks."""
+    several = F.col("key").bitwiseAND(2) != 0
+    slim = ["key", "doc_id", "component", "n", "before"]
+    few = placed.filter(several & (F.col("sets") <= CROWDED)).join(sets.select("doc_id", "parity"), "doc_id")
+    crowded = placed.filter(several & (F.col("sets") > CROWDED)).select("doc_id", "component").distinct()
+    rare = placed.filter(~several).select(*slim).unionByName(_rarest(crowded, sets, rule))
+    return _both(few, few, ["key"], False, rule).unionByName(_rare_pairs(rare, sets, rule))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (u, v) whose sets are similar, by size, parity sketch and members in common."""
     a = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("na"), F.col("parity").alias("pa"))
@@ -232,9 +299,8 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     keys = sketches(single, rule).select("doc_id", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").count().filter("count > 1")
     rows = keys.join(shared, "key").withColumn("one_each", F.col("key").bitwiseAND(2) == 0)
-    difference = F.expr(f"(n + (n * 100) div {rule.percent}) * {100 - rule.percent} div {100 + rule.percent}")
     # The smallest partner's spare; one less, as it may fill a block too few.
-    drop = F.when(F.col("one_each"), F.col("n") - difference - 1).otherwise(3 + F.expr(f"(n * {rule.percent} div 100) div 50"))
+    drop = F.when(F.col("one_each"), F.col("n") - rule.lacking(F.col("n")) - 1).otherwise(3 + F.expr(f"(n * {rule.percent} div 100) div 50"))
     band = Window.partitionBy("doc_id", F.col("key").bitwiseAND(1))
     rows = (rows.withColumn("place", F.row_number().over(band.orderBy("count", "key")))
             .withColumn("all", F.count("*").over(band)).filter(F.col("place") <= F.col("all") - drop)
@@ -255,21 +321,16 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
             placed = (rows.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                       .withColumn("component", F.coalesce("component", "doc_id")))
         # Only blocks whose sets are not all connected yet.
-        spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+        spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets"),
                                            F.min(F.struct((F.col("before") if turn == 0 else F.lit(0)).alias("first"), F.xxhash64("doc_id", F.lit(turn)).alias("second"), "doc_id", "component", "n", "before")).alias("pivot")).filter("lo < hi")
-        placed = scratch.store(placed.join(spread.select("key", "pivot"), "key"), "open")
+        placed = scratch.store(placed.join(spread.select("key", "pivot", "sets"), "key"), "open")
         if placed.isEmpty():
             break
         if turn < PIVOT_ROUNDS:
             pairs = placed.filter(F.col("component") != F.col("pivot.component")).select(
-                "doc_id", "n", "before", F.col("pivot.doc_id").alias("other"), F.col("pivot.n").alias("other_n"), F.col("pivot.before").alias("other_before"))
+                "doc_id", "n", "before", F.col("pivot.doc_id").alias("other"), F.col("pivot.n").alias("other_n"), F.col("pivot.before").alias("other_before")).filter(_possible(rule))
         else:
-            # Here all pairs of different components in a block are compared, by their parity sketches in the join itself.
-            marked = placed.join(sets.select("doc_id", "parity"), "doc_id")
-            other = marked.select("key", *[F.col(c).alias(f"other_{c}") for c in ("component", "n", "before", "parity")], F.col("doc_id").alias("other"))
-            pairs = marked.join(other, (marked["key"] == other["key"]) & (F.col("component") < F.col("other_component")) & _possible(rule)
-                                & rule.within(F.col("n").cast("long"), F.col("other_n").cast("long"), _hamming("parity", "other_parity")))
-        pairs = pairs.filter(_possible(rule))
+            pairs = _remaining_pairs(placed, sets, rule)
         pairs = pairs.select(F.least("doc_id", "other").alias("u"), F.greatest("doc_id", "other").alias("v")).distinct()
         found = scratch.store(_verify(pairs, sets, rule), "links")
         if groups is None or not found.isEmpty():

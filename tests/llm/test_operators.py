@@ -339,6 +339,40 @@ def test_jaccard_against_brute_force(spark, rule):
     assert got == _jaccard_groups(rows, rule.words, rule.percent)
 
 
+@pytest.mark.parametrize("crowded, part", [(1, 3), (4, 1024)])
+def test_jaccard_crowded_blocks(spark, monkeypatch, crowded, part):
+    """Texts of a long template below the threshold, a few of them linked: no set meets all others of its blocks."""
+    rng = random.Random(crowded)
+    monkeypatch.setattr(ngram_jaccard, "CROWDED", crowded)
+    monkeypatch.setattr(ngram_jaccard, "PART", part)
+    met = []
+    plain = ngram_jaccard._rare_pairs
+
+    def watched(rows, sets, rule):
+        first = F.col("before") <= rule.lacking_in_larger(F.col("n"))
+        each = rows.groupBy("key").agg(F.count("*").alias("all"), F.count_if(first).alias("few"))
+        met.append(each.agg(F.sum(F.col("all") * F.col("few"))).first()[0] or 0)
+        return plain(rows, sets, rule)
+
+    monkeypatch.setattr(ngram_jaccard, "_rare_pairs", watched)
+    texts = []
+    for shared, own, n in ((1100, 100, 120), (180, 30, 120)):
+        template = [f"t{shared}_{i}" for i in range(shared)]
+        for i in range(n):
+            mine = [f"o{rng.randrange(10**9)}" for _ in range(own)]
+            at = rng.randrange(shared)
+            texts.append(template[:at] + mine + template[at:])
+            if i % 10 == 0:  # a partner with most of the own words
+                texts.append(template[:at] + mine[: own - 5] + template[at:])
+    rng.shuffle(texts)
+    rows = list(enumerate(" ".join(t) for t in texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.similar_groups(df).collect()}
+    assert got == _jaccard_groups(rows, 3, 90)
+    assert sum(i != c for i, (_, c) in got.items()) == 24
+    assert all(m < 20 * len(rows) for m in met) and met
+
+
 def test_jaccard_odd_rows(odd, none):
     rows = ngram_jaccard.similar_groups(odd, ngram_jaccard.Rule(3, 90)).collect()
     got = {r["doc_id"]: r["component_id"] for r in rows}
