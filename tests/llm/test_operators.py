@@ -503,6 +503,47 @@ def test_random_tokens_against_plain_scores(spark):
     assert not few.random("getUserAccountByEmail2 internationalization", [])
 
 
+def _plain_models(texts):
+    """Ratios of first characters and of transitions, and the threshold, counted token by token."""
+    letters = secret_scan.ALPHABET
+    size = len(letters)
+    kinds = ([], [])
+    for text in texts:
+        base = secret_scan.base_spans(text)
+        left = "".join(" " if any(a <= i < b for a, b, _ in base) else c for i, c in enumerate(text))
+        kinds[0].extend(re.findall("[A-Za-z0-9+/_=-]{8,}", left))
+        kinds[1].extend(re.search("[A-Za-z0-9+/_=-]*$", text[a:b])[0] for a, b, _ in base)
+    p = []
+    for lean, found in zip((0.05, 0.5), kinds):
+        n = np.ones((size + 1, size))
+        for t in filter(None, found):
+            at = [letters.index(c) for c in t]
+            n[size, at[0]] += 1
+            for x, y in zip(at, at[1:]):
+                n[x, y] += 1
+        p.append(np.log2((1 - lean) * n / n.sum(axis=1, keepdims=True) + lean / size))
+    bits = p[1] - p[0]
+    at = [[letters.index(c) for c in t] for t in kinds[0]]
+    ratios = np.array([bits[size, t[0]] + sum(bits[x, y] for x, y in zip(t, t[1:])) for t in at])
+    total = next(k for k in range(33) if k == 32 or (np.ceil(ratios) > k).sum() <= 1e-5 * len(ratios))
+    return bits[size], bits[:size], max(total, 12)
+
+
+def _many_secrets(spark):
+    """More rows than models were once counted in, each with letters of its own; some come twice."""
+    key = "substr(upper(md5(string(id))), 1, 14)"
+    docs = spark.range(24_000).selectExpr("IF(id % 50 = 0, NULL, id) AS doc_id", f"concat('identifier_', id, ' AKIA', {key}, "
+                                          "IF(id % 40 = 0, concat(' password=', substr(sha1(string(id)), 1, 9), '.x', id % 7), ''), ' é some/other-words ab') AS text")
+    return docs.union(docs.filter("doc_id % 3 = 0")).union(spark.createDataFrame([(1, None), (2, ""), (3, "é a b")], docs.schema))
+
+
+def test_secret_models_learn_from_every_row(spark):
+    docs = _many_secrets(spark)
+    models = secret_scan.train(docs)
+    first, step, total = _plain_models([r["text"] for r in docs.distinct().collect() if r["text"]])
+    assert np.allclose(models.first, first, atol=1e-9) and np.allclose(models.step, step, atol=1e-9) and models.total_bits == total
+
+
 def test_mixing(spark, odd, none):
     rows = mixing.mix(odd.withColumn("size", F.lit("own")), ["doc_id", "source", "size"]).collect()
     assert len(rows) == len(ODD) and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
