@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import numpy as np
 import sentencepiece as library
 from pyspark.sql import functions as F
 
 from meterlake.llm import mixing, quality, secret_scan, sentencepiece_fst
-from tests.llm.test_operators import _jaccard_groups
+from tests.llm.test_operators import _jaccard_groups, _many_secrets, _plain_models
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,6 +55,17 @@ def test_stages(spark):
     assert sorted((r["doc_id"] or -1, r["ids"] or []) for r in last.collect()) == want
 
 
+def test_secrets_stage_learns_from_every_row(spark, monkeypatch):
+    docs = _many_secrets(spark)
+    used = []
+    redact = secret_scan.redact
+    monkeypatch.setattr(secret_scan, "redact", lambda df, models: used.append(models) or redact(df, models))
+    out = corpus_pipeline.secret_scans(spark, docs, SF)
+    first, step, total = _plain_models([r["text"] for r in docs.distinct().collect() if r["text"]])
+    assert np.allclose(used[0].first, first, atol=1e-9) and np.allclose(used[0].step, step, atol=1e-9) and used[0].total_bits == total
+    assert out.count() == docs.count() and out.filter("text LIKE '%AKIA%' OR text LIKE '%password%'").count() == 0
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.filter("NOT round_trip").count() == 0
