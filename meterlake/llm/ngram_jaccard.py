@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
-from meterlake.llm.components import components
+from meterlake.llm.components import components, join_components
 from meterlake.llm.texts import free_name, map_texts, mix, word_hashes, words
 from meterlake.storage import Scratch
 
@@ -207,7 +207,7 @@ def _hamming(a: str, b: str) -> Column:
 
 
 def _both(a: DataFrame, b: DataFrame, on: list[str], smaller_first: bool, rule: Rule) -> DataFrame:
-    """(doc_id, other) of different components that agree in `on`, by sizes, places and parity sketches."""
+    """(doc_id, other) and both components of different components that agree in `on`, by sizes, places and parity sketches."""
     other = b.select(*on, *[F.col(c).alias(f"other_{c}") for c in ("component", "n", "before", "parity")], F.col("doc_id").alias("other"))
     if smaller_first:
         order = (F.col("component") != F.col("other_component")) & (F.struct("n", "doc_id") < F.struct(F.col("other_n").alias("n"), F.col("other").alias("doc_id")))
@@ -215,7 +215,7 @@ def _both(a: DataFrame, b: DataFrame, on: list[str], smaller_first: bool, rule:
         order = F.col("component") < F.col("other_component")
     met = a.alias("a").join(other.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [
         order, _possible(rule), rule.within(F.col("n").cast("long"), F.col("other_n").cast("long"), _hamming("parity", "other_parity"))])
-    return met.select("doc_id", "other")
+    return met.select("doc_id", "component", "other", "other_component")
 
 
 def _rarest(ids: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -232,7 +232,7 @@ def _rarest(ids: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _rare_pairs(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, other) of different components that meet in a rare member of the smaller set.
+    """(doc_id, other) and both components of different components that meet in a rare member of the smaller set.
 
     The smaller set comes with the fewer members that a larger partner may lack, the larger one with
     all its rows. A member's rows are dealt into parts of some `PART`, and the smaller sets go to each.
@@ -246,27 +246,30 @@ def _rare_pairs(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return _both(smaller, larger, ["key", "part"], True, rule)
 
 
-def _remaining_pairs(placed: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, other) still to be verified of the rows (key, doc_id, component, n, before, sets) of open blocks."""
+def _remaining_pairs(placed: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(doc_id, other) and both components still to be verified of the rows (key, doc_id, component, n, before, sets) of open blocks.
+
+    The rows of rare members are stored: they are read three times, and whole plans would fill the driver's memory.
+    """
     several = F.col("key").bitwiseAND(2) != 0
     slim = ["key", "doc_id", "component", "n", "before"]
     few = placed.filter(several & (F.col("sets") <= CROWDED)).join(sets.select("doc_id", "parity"), "doc_id")
     crowded = placed.filter(several & (F.col("sets") > CROWDED)).select("doc_id", "component").distinct()
-    rare = placed.filter(~several).select(*slim).unionByName(_rarest(crowded, sets, rule))
+    rare = scratch.store(placed.filter(~several).select(*slim).unionByName(_rarest(crowded, sets, rule)), "rare")
     return _both(few, few, ["key"], False, rule).unionByName(_rare_pairs(rare, sets, rule))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (u, v) whose sets are similar, by size, parity sketch and members in common."""
+    """The rows of pairs (u, v) whose sets are similar, by size, parity sketch and members in common."""
     a = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * rule.percent
     close = (pairs.join(a, "u").join(b, "v").filter(sizes).filter(rule.within(F.col("na"), F.col("nb"), _hamming("pa", "pb")))
-             .select("u", "v", "na", "nb"))
+             .select(*pairs.columns, "na", "nb"))
     common = F.size(F.array_intersect("ma", "mb"))
     return (close.join(sets.select(F.col("doc_id").alias("u"), F.col("members").alias("ma")), "u")
             .join(sets.select(F.col("doc_id").alias("v"), F.col("members").alias("mb")), "v")
-            .filter(100 * common >= rule.percent * (F.col("na") + F.col("nb") - common)).select("u", "v"))
+            .filter(100 * common >= rule.percent * (F.col("na") + F.col("nb") - common)).select(*pairs.columns))
 
 
 def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,7 +315,6 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
         wanted = F.broadcast(wanted)
     sets = scratch.store(_sets(texts.join(wanted, "doc_id", "left_semi"), rule), "sets")
 
-    links = copies
     groups = None
     for turn in range(PIVOT_ROUNDS + 1):
         if groups is None:
@@ -328,15 +330,22 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
             break
         if turn < PIVOT_ROUNDS:
             pairs = placed.filter(F.col("component") != F.col("pivot.component")).select(
-                "doc_id", "n", "before", F.col("pivot.doc_id").alias("other"), F.col("pivot.n").alias("other_n"), F.col("pivot.before").alias("other_before")).filter(_possible(rule))
+                "doc_id", "component", "n", "before", F.col("pivot.doc_id").alias("other"), F.col("pivot.component").alias("other_component"),
+                F.col("pivot.n").alias("other_n"), F.col("pivot.before").alias("other_before")).filter(_possible(rule))
         else:
-            pairs = _remaining_pairs(placed, sets, rule)
-        pairs = pairs.select(F.least("doc_id", "other").alias("u"), F.greatest("doc_id", "other").alias("v")).distinct()
-        found = scratch.store(_verify(pairs, sets, rule), "links")
-        if groups is None or not found.isEmpty():
-            links = links.unionByName(found)
-            groups = components(links, scratch)
-    groups = components(links, scratch) if groups is None else groups
+            pairs = _remaining_pairs(placed, sets, rule, scratch)
+        ends = [F.struct(F.col(i).alias("id"), F.col(c).alias("component")) for i, c in (("doc_id", "component"), ("other", "other_component"))]
+        pairs = (pairs.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+                 .select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.col("a.component").alias("u_in"), F.col("b.component").alias("v_in")).distinct())
+        if turn == PIVOT_ROUNDS:
+            pairs = scratch.store(pairs, "pairs")
+        found = scratch.store(_verify(pairs, sets, rule).select(F.col("u_in").alias("u"), F.col("v_in").alias("v")).distinct(), "links")
+        if groups is None:
+            groups = components(copies.unionByName(found), scratch)
+        elif not found.isEmpty():
+            # What earlier turns found stays as it is: components are joined, not links from the start.
+            groups = join_components(groups, found, scratch)
+    groups = components(copies, scratch) if groups is None else groups
     out = (all_rows.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
     return scratch.release(out)

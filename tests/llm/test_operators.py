@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meterlake.llm import (embedding_dedup, language_id, mixing, ngram_jaccard, quality, registry, secret_scan,
                            sentencepiece_fst, sharding, vector_search, warc)
+from meterlake.llm.components import components, join_components
 from meterlake.storage import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -373,6 +374,70 @@ def test_jaccard_crowded_blocks(spark, monkeypatch, crowded, part):
     assert all(m < 20 * len(rows) for m in met) and met
 
 
+def test_components_in_few_rounds(spark, monkeypatch):
+    """Stars take no round, and what is connected is joined by further links without its links from the start."""
+    rng = random.Random(5)
+    stored = []
+    store = Scratch.store
+    monkeypatch.setattr(Scratch, "store", lambda self, df, name, *more: stored.append(name) or store(self, df, name, *more))
+
+    def plain(links):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for u, v in links:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+        return {x: find(x) for x in root}
+
+    def links(pairs):
+        return spark.createDataFrame(pairs, "u long, v long")
+
+    scratch = Scratch(spark, "components")
+    stars = [(i, i % 7) for i in range(7, 60)] + [(3, 3), (90, 80)]
+    groups = components(links(stars + [(v, u) for u, v in stars]), scratch)
+    assert {r["node"]: r["component"] for r in groups.collect()} == plain([p for p in stars if p[0] != p[1]])
+    assert stored == ["edges", "components"]
+    pairs = [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(200)] + [(i, i + 1) for i in range(500, 560)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    groups = components(links(pairs), scratch)
+    want = plain(pairs)
+    assert sorted(groups.collect()) == sorted(want.items())
+    more = [(want[500], want[pairs[0][0]]), (want[pairs[1][0]], 1000), (1001, 1000), (2000, 50)]
+    assert sorted(join_components(groups, links(more), scratch).collect()) == sorted(plain(pairs + more).items())
+    assert join_components(groups, links([]), scratch).count() == len(want)
+    scratch.clear()
+
+
+def test_jaccard_plans_stay_short(spark, monkeypatch):
+    """The driver holds every plan as text, again after each of its stages: steps that are read again are stored."""
+    monkeypatch.setattr(ngram_jaccard, "CROWDED", 4)
+    lengths, turns = [], []
+    store = Scratch.store
+
+    def watched(self, df, name, *more):
+        lengths.append(len(df._jdf.queryExecution().executedPlan().toString()))
+        turns.append(name)
+        return store(self, df, name, *more)
+
+    monkeypatch.setattr(Scratch, "store", watched)
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(1100)]
+    rows = []
+    for i in range(60):
+        at, mine = rng.randrange(1100), [f"o{rng.randrange(10**9)}" for _ in range(100)]
+        rows.append((i, " ".join(template[:at] + mine + template[at:])))
+        if i % 10 == 0:
+            rows.append((100 + i, " ".join(template[:at] + mine[:95] + template[at:])))
+    groups = ngram_jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in groups} == {i: i % 100 for i, _ in rows}
+    assert turns.count("open") == ngram_jaccard.PIVOT_ROUNDS + 1 and max(lengths) < 40_000, lengths
+
+
 def test_jaccard_odd_rows(odd, none):
     rows = ngram_jaccard.similar_groups(odd, ngram_jaccard.Rule(3, 90)).collect()
     got = {r["doc_id"]: r["component_id"] for r in rows}
