@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,20 +40,27 @@ def write_logs(lines: DataFrame, folder: str, start: float, end: float) -> int:
     """
     base = folder.removeprefix("file://").removeprefix("file:")
 
-    def write(part: pd.DataFrame) -> pd.DataFrame:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
-        text = ("\n".join(part.sort_values("ord")["value"]) + "\n").encode()
-        path = f"{base}/{part['file'].iloc[0].rsplit('/', 1)[-1]}"
-        os.makedirs(base, exist_ok=True)
-        first, last = round(len(text) * start), round(len(text) * end)
-        # At the offset, not at the end: a task that is run twice writes the same bytes to the same place.
-        with open(path, "r+b" if os.path.exists(path) else "wb") as f:
-            f.seek(first)
-            f.write(text[first:last])
-        return pd.DataFrame({"bytes": [last - first]})
-
-    return lines.select("file", "ord", "value").groupBy("file").applyInPandas(write, "bytes long").agg(F.sum("bytes")).first()[0] or 0
+        rows = (row for batch in batches for row in zip(batch["file"], batch["value"]))
+        written = 0
+        for file, part in groupby(rows, itemgetter(0)):
+            text = ("\n".join(value for _, value in part) + "\n").encode()
+            path = f"{base}/{file.rsplit('/', 1)[-1]}"
+            os.makedirs(base, exist_ok=True)
+            first, last = round(len(text) * start), round(len(text) * end)
+            # At the offset, not at the end: a task that is run twice writes the same bytes to the same place.
+            with open(path, "r+b" if os.path.exists(path) else "wb") as f:
+                f.seek(first)
+                f.write(text[first:last])
+            written += last - first
+        yield pd.DataFrame({"bytes": [written]})
+
+    # Each file's lines are together, in one order whenever they are written.
+    ordered = lines.select("file", "ord", "value").repartition("file")
+    ordered = ordered.sortWithinPartitions("file", F.asc_nulls_last("ord"), "value")
+    return ordered.mapInPandas(write, "bytes long").agg(F.sum("bytes")).first()[0] or 0
 
 
 def numbered(lines: DataFrame) -> DataFrame:

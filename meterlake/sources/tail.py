@@ -27,6 +27,8 @@ from meterlake.keys import ACCOUNT
 #: Bytes of a block, which is also what a task reads of a file at a time, and of the end of a file that is compared.
 BLOCK_BYTES = 32 << 20
 MARK_BYTES = 4096
+#: What opening a file counts for, in bytes, when small ranges share a task.
+OPEN_BYTES = 64 << 10
 _LINES = "file string, block long, ord long, value string"
 
 
@@ -142,9 +144,25 @@ def inspect_files(files: DataFrame) -> DataFrame:
     return files.repartition("file").mapInPandas(look, schema)
 
 
-class _Range(InputPartition):
-    def __init__(self, file: str, start: int, end: int):
-        self.file, self.start, self.end = file, start, end
+class _Ranges(InputPartition):
+    """(file, start, end) of what one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
+def _packed(ranges: list[tuple[str, int, int]], block: int, tasks: int) -> list[_Ranges]:
+    """Ranges dealt out in their order, up to a block for each task, and less than that if it takes fewer tasks than `tasks`."""
+    costs = [end - start + OPEN_BYTES for _, start, end in ranges]
+    most = min(block, -(-sum(costs) // tasks))
+    out, room = [], 0
+    for one, cost in zip(ranges, costs):
+        if cost > room:
+            out.append(_Ranges([]))
+            room = most
+        out[-1].ranges.append(one)
+        room -= cost
+    return out
 
 
 class GrowingLinesReader(DataSourceStreamReader):
@@ -153,6 +171,7 @@ class GrowingLinesReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].rstrip("/")
         self.block = int(options.get("blockBytes", BLOCK_BYTES))
+        self.tasks = int(options.get("tasks", 1))
         self.known: dict[str, tuple[int, int]] = {}
 
     def initialOffset(self) -> dict:
@@ -183,22 +202,22 @@ class GrowingLinesReader(DataSourceStreamReader):
             first = first if first <= last else 0
             while first < last:
                 stop = min(last, (first // self.block + 1) * self.block)
-                ranges.append(_Range(file, first, stop))
+                ranges.append((file, first, stop))
                 first = stop
         # Spark asks for one partition at least.
-        return ranges or [_Range("", 0, 0)]
+        return _packed(ranges, self.block, self.tasks) or [_Ranges([])]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        if partition.file:
-            for at, text in lines_between(partition.file, partition.start, partition.end):
-                yield partition.file, partition.start // self.block, at, text
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
+        for file, start, end in partition.ranges:
+            for at, text in lines_between(file, start, end):
+                yield file, start // self.block, at, text
 
     def commit(self, end: dict) -> None:
         """Nothing to let go of: the files are the log's own."""
 
 
 class GrowingLines(DataSource):
-    """Stream of (file, block, ord, value); options: path, blockBytes."""
+    """Stream of (file, block, ord, value); options: path, blockBytes, tasks (about as many at least)."""
 
     @classmethod
     def name(cls) -> str:
@@ -214,7 +233,8 @@ class GrowingLines(DataSource):
 def stream_lines(spark: SparkSession, root: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A stream of the lines below `root`, those appended later included."""
     spark.dataSource.register(GrowingLines)
-    return spark.readStream.format(GrowingLines.name()).option("blockBytes", str(block_bytes)).load(root)
+    reader = spark.readStream.format(GrowingLines.name()).option("blockBytes", str(block_bytes))
+    return reader.option("tasks", str(spark.sparkContext.defaultParallelism)).load(root)
 
 
 __all__ = ["BLOCK_BYTES", "GrowingLines", "inspect_files", "lines_between", "read_ranges", "stream_lines", "whole_lines"]

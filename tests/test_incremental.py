@@ -8,12 +8,13 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from checks.logs import write_logs
 from meterlake.operators import context as C
 from meterlake.plans.ingest import Metadata, ingest
 from meterlake.sources.ledger import LedgerError, PublishConflict
 from meterlake.sources.metadata import EDGES_SCHEMA, STATE_SCHEMA, TITLES_SCHEMA
 from meterlake.sources.rollouts import list_sources, parse_records, read_rollouts, thread_id_of_file
-from meterlake.sources.tail import lines_between, read_ranges, stream_lines, whole_lines
+from meterlake.sources.tail import GrowingLinesReader, lines_between, read_ranges, stream_lines, whole_lines
 from meterlake.storage import Scratch
 from meterlake.streaming.incremental import read_store, refresh_changed
 from meterlake.streaming.parts import Parts
@@ -252,3 +253,65 @@ def test_stream_of_growing_files(spark, tmp_path):
     run()
     run()
     assert arrived() == {thread(i): log.lines[i] for i in (0, 1, 2)}
+
+
+def test_small_files_share_stream_tasks(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/logs/deep")
+    want = {}
+    for i in range(200):
+        path = f"{tmp_path}/logs/{'deep/' if i % 2 else ''}{i:03d}.jsonl"
+        want[path] = [f"{i} {n}" for n in range(i % 7 + 1)]
+        with open(path, "w") as f:
+            f.write("\n".join(want[path]) + "\n")
+    big = f"{tmp_path}/logs/big.jsonl"
+    want[big] = [str(n) * 50 for n in range(12_000)]
+    with open(big, "w") as f:
+        f.write("\n".join(want[big]) + "\n")
+
+    def arrived(rows):
+        out = {}
+        for file, block, at, text in sorted(rows):
+            assert block == at // (1 << 20) and at == sum(len(t) + 1 for _, t in out.get(file, ()))
+            out.setdefault(file, []).append((at, text))
+        return {file: [t for _, t in texts] for file, texts in out.items()}
+
+    reader = GrowingLinesReader({"path": f"{tmp_path}/logs", "blockBytes": str(1 << 20), "tasks": "2"})
+    parts = reader.partitions({}, end := reader.latestOffset())
+    blocks = -(-os.path.getsize(big) // (1 << 20))
+    # Some 15 small files share a task; of a large file, a task has a block.
+    assert blocks > 2 and len(parts) < blocks + 20
+    assert max(sum(r[2] - r[1] for r in p.ranges) for p in parts) <= 1 << 20
+    rows = []
+    for p in parts:
+        rows += reader.read(p)
+    small = [r for r in rows if r[0] != big]
+    assert arrived(small) == {f: t for f, t in want.items() if f != big}
+    assert [t for *_, t in sorted(r for r in rows if r[0] == big)] == want[big]
+    # What is left when most was read before; nothing at all still is one partition.
+    assert [r for p in reader.partitions(end | {big: end[big] - 1}, end) for r in p.ranges] == [(big, end[big] - 1, end[big])]
+    assert [p.ranges for p in reader.partitions(end, end)] == [[]]
+    # As many tasks as there are cores get something, if there are as many files.
+    wide = GrowingLinesReader({"path": f"{tmp_path}/logs/deep", "tasks": "8"})
+    assert 8 <= len(wide.partitions({}, wide.latestOffset())) <= 10
+
+    query = (stream_lines(spark, f"{tmp_path}/logs").writeStream.format("parquet")
+             .option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start(f"{tmp_path}/sink"))
+    assert query.awaitTermination(180) and query.exception() is None
+    got = spark.read.parquet(f"{tmp_path}/sink")
+    assert len(got.inputFiles()) < 30
+    lines = {}
+    for r in sorted(got.collect(), key=lambda r: (r.file, r.ord)):
+        lines.setdefault(r.file, []).append(r.value)
+    assert lines == want
+
+
+def test_logs_are_written_in_two_parts(spark, tmp_path):
+    lines = [(f"/logs/{f}.jsonl", n // 2, f"{f} {n * 7 % 5} {'é' * n}") for f in range(40) for n in range(f % 9 + 1)]
+    table = spark.createDataFrame(lines, "file string, ord long, value string")
+    folder = f"{tmp_path}/sessions"
+    size = sum(write_logs(table.orderBy(F.rand(n)), f"file://{folder}", *part) for n, part in enumerate([(0.0, 0.55), (0.55, 1.0)]))
+    want = {}
+    for file, at, text in sorted(lines):
+        want.setdefault(file.rsplit("/", 1)[-1], []).append(text)
+    assert {n: open(f"{folder}/{n}").read().split("\n") for n in os.listdir(folder)} == {n: [*t, ""] for n, t in want.items()}
+    assert size == sum(os.path.getsize(f"{folder}/{n}") for n in want)
